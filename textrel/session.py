@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A single-machine session with the settings the library expects (ANSI, AQE, UTC)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("textrel")
         .config("spark.driver.memory", memory)
@@ -24,6 +24,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    importable(spark)
+    return spark
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -44,6 +46,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they share that folder."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, known) if x)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of a folder with one Parquet file or directory per table."""
+    importable(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
