@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrel.llm.garbled import find_garbled, pair_counts
+from textrel.llm.pieces import oversized, split_texts
 from textrel.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,22 @@ def p1_found(spark, folder):
 def p1_restored(spark, folder):
     """The damaged values with their text as it was, where that can be known."""
     return _garbled(spark, folder).select("table_name", "record_key", "field_name", "restored", "partly_restored", "encodings")
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "raw_chunks").withColumn("table_name", F.split_part("doc_id", F.lit("/"), F.lit(1)))
+
+
+@query("""SELECT chunk_id FROM raw_chunks JOIN chunk_limits ON table_name = split_part(doc_id, '/', 1) WHERE length(content) > max_chars""")
+def p4_found(spark, folder):
+    rows = _chunks(spark, folder).select("chunk_id", "table_name", "content")
+    return oversized(rows, "chunk_id", "content", table(spark, folder, "chunk_limits")).select("chunk_id")
+
+
+@query()
+def p4_pieces(spark, folder):
+    """All chunks as pieces within the limits. chunk_index orders the pieces of a document: the old index, then the piece."""
+    chunks = _chunks(spark, folder)
+    pieces = split_texts(chunks.select("chunk_id", "table_name", "content"), "chunk_id", "content", table(spark, folder, "chunk_limits"))
+    order = chunks.select("chunk_id", "doc_id", F.col("chunk_index").alias("old_index"))
+    return pieces.join(order, "chunk_id").select("chunk_id", "doc_id", (F.col("old_index").cast("bigint") * (1 << 20) + F.col("piece_no")).alias("chunk_index"), "piece_no", "start", "end", "content")
