@@ -9,7 +9,8 @@
    again for text garbled twice and for garbled text that changed its letter case since; or, where one single-byte
    encoding was taken for another, decoded with that other one. A mapping is accepted if it raises the information of the pairs by
    MIN_GAIN (MIN_GAIN_SINGLE for the second kind).
-4. Replacement characters and C1 controls in a run are damage in any case; what they stood for cannot be known.
+4. Replacement characters and C1 controls in a run are damage in any case; what they stood for cannot be known. So are
+   question marks inside a word (for names: at its edge too), which no clean text has.
 
 The reference should be clean; pairs inside damage would support each other otherwise. The tables sent to the workers
 are 2**PAIR_BITS + 2**CHAR_BITS numbers, whatever the size of the corpus.
@@ -318,9 +319,22 @@ def repair_text(text: str, information: np.ndarray, model: PairModel, cache: dic
     return "".join([*parts, text[last:]]), whole, sorted(encodings)
 
 
-def find_garbled(df: DataFrame, column: str, model: PairModel) -> DataFrame:
+_MARK_IN_WORD = re.compile(r"[^\W\d_]\?+(?=[^\W\d_])(.)")
+_MARK_IN_NAME = re.compile(r"[^\W\d_]\?|(?:^|[\s'-])\?+[^\W\d_]")
+
+
+def has_lost_marks(text: str, names: bool) -> bool:
+    """True if a question mark stands for a lost letter: between a letter and a small letter, or, in names, next to a letter."""
+    if names:
+        return _MARK_IN_NAME.search(text) is not None
+    return any(m.group(1).islower() for m in _MARK_IN_WORD.finditer(text))
+
+
+def find_garbled(df: DataFrame, column: str, model: PairModel, names: bool = False) -> DataFrame:
     """The damaged rows of ``df``: its columns plus restored (null unless all damage could be undone), partly_restored, encodings.
 
+    ``names`` tells that the texts are names, in which a question mark next to a letter is a lost letter too.
+
     Null and empty texts are never damaged. Repeated rows stay repeated. Every character of a text of any length is
     looked at. Columns of ``df`` with the names of the result columns raise ValueError.
     """
@@ -342,6 +356,10 @@ def find_garbled(df: DataFrame, column: str, model: PairModel) -> DataFrame:
                 bounds = np.cumsum([0] + [len(t) + 1 for t in part])
                 bad = np.nonzero(information < CUT)[0]
                 lost = np.nonzero((codes == 0xFFFD) | ((codes >= 0x80) & (codes < 0xA0)))[0]
+                asked = np.nonzero(codes == 63)[0]
+                for k in np.unique(np.searchsorted(bounds, asked, side="right") - 1):
+                    if has_lost_marks(part[k], names):
+                        out[first + k] = (None, part[k], [])
                 for k in np.unique(np.searchsorted(bounds, np.concatenate((bad, lost)), side="right") - 1):
                     t = part[k]
                     if len(t) < 2:
@@ -349,9 +367,9 @@ def find_garbled(df: DataFrame, column: str, model: PairModel) -> DataFrame:
                     else:
                         fixed = repair_text(t, information[bounds[k] : bounds[k + 1] - 2], m, cache)
                     if fixed:
-                        out[first + k] = (fixed[0] if fixed[1] else None, fixed[0], fixed[2])
+                        out[first + k] = (fixed[0] if fixed[1] and not has_lost_marks(fixed[0], names) else None, fixed[0], fixed[2])
             yield pd.DataFrame(out, columns=["restored", "partly_restored", "encodings"], index=s.index)
 
-    # Texts of ASCII characters only hold nothing to restore and stay in the JVM.
-    rows = df.where(F.col(column).rlike(r"[^\x00-\x7f]")).withColumn("_fix", fix(F.col(column)))
+    # Other texts hold nothing to restore and stay in the JVM.
+    rows = df.where(F.col(column).rlike(r"[^\x00-\x7f]|\?" if names else r"[^\x00-\x7f]|[a-zA-Z]\?+[a-z]")).withColumn("_fix", fix(F.col(column)))
     return rows.where(F.col("_fix.partly_restored").isNotNull()).select(*df.columns, "_fix.restored", "_fix.partly_restored", "_fix.encodings")

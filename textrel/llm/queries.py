@@ -32,7 +32,7 @@ def _garbled(spark: SparkSession, folder: str) -> DataFrame:
     model = pair_counts(table(spark, folder, "documents"), "text")
     player = table(spark, folder, "player").select(F.lit("player").alias("table_name"), F.col("id").cast("string").alias("record_key"), F.inline(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("name", "college")])))
     chunks = table(spark, folder, "raw_chunks").select(F.lit("raw_chunks").alias("table_name"), F.col("chunk_id").alias("record_key"), F.lit("content").alias("field_name"), F.col("content").alias("value"))
-    return find_garbled(player.unionByName(chunks), "value", model)
+    return find_garbled(player, "value", model, names=True).unionByName(find_garbled(chunks, "value", model))
 
 
 @query()
