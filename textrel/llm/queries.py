@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textrel.llm.garbled import find_garbled, pair_counts
 from textrel.llm.pieces import oversized, split_texts
+from textrel.llm.variants import pairs_of, variant_groups
 from textrel.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,16 @@ def p4_pieces(spark, folder):
     pieces = split_texts(chunks.select("chunk_id", "table_name", "content"), "chunk_id", "content", table(spark, folder, "chunk_limits"))
     order = chunks.select("chunk_id", "doc_id", F.col("chunk_index").alias("old_index"))
     return pieces.join(order, "chunk_id").select("chunk_id", "doc_id", (F.col("old_index").cast("bigint") * (1 << 20) + F.col("piece_no")).alias("chunk_index"), "piece_no", "start", "end", "content")
+
+
+@query()
+def p5_found(spark, folder):
+    parts = [pairs_of(variant_groups(table(spark, folder, t), t)).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t in ("player", "owner", "team")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query()
+def p5_groups(spark, folder):
+    """One row per id with the smallest id of the same person, organisation or club."""
+    parts = [variant_groups(table(spark, folder, t), t).select(F.lit(t).alias("table_name"), "id", "entity_id") for t in ("player", "owner", "team")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
