@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textrel.functions.text import is_missing, match_key
 from textrel.llm.garbled import find_garbled, pair_counts
 from textrel.llm.pieces import oversized, split_texts
+from textrel.llm.survivors import sortable, surviving_values, tokens_of
 from textrel.llm.variants import pairs_of, variant_groups
+from textrel.operators.skew import salted_join
 from textrel.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +80,55 @@ def p5_groups(spark, folder):
     """One row per id with the smallest id of the same person, organisation or club."""
     parts = [variant_groups(table(spark, folder, t), t).select(F.lit(t).alias("table_name"), "id", "entity_id") for t in ("player", "owner", "team")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of all results in which an entity is named, one row each, with the priority of their result."""
+    trust = F.broadcast(table(spark, folder, "extractor_trust"))  # a fixed table
+    results = table(spark, folder, "extraction_result").join(trust, "extractor", "left")
+    r = results.select("result_id", "table_name", "chunk_id", sortable(-F.col("trust_rank"), F.unix_micros("extracted_at"), F.col("result_id")).alias("priority"), F.explode("records").alias("record"))
+    name = F.when(F.col("table_name") == "team", F.try_element_at("record", F.lit("team_name"))).otherwise(F.try_element_at("record", F.lit("name")))
+    return r.where(F.col("record").isNotNull()).withColumn("_name", name).where(~is_missing(F.col("_name"))).select("*", match_key(F.col("_name")).alias("entity_key")).drop("_name")
+
+
+def _survivors(spark: SparkSession, folder: str, rule: str) -> DataFrame:
+    records = _records(spark, folder)
+    entity = ["table_name", "entity_key"]
+    several = records.groupBy(*entity).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    records = salted_join(records, several, entity, ["result_id"])
+    fields = records.select(*entity, F.col("result_id").cast("string").alias("winner_id"), "priority", F.explode("record").alias("field_name", "value")).where((F.col("field_name") != "row_id") & ~is_missing(F.col("value")))
+    fields = fields.select(*entity, "field_name", "value", tokens_of(F.col("value")).alias("tokens"), "priority", F.lit(1.0).alias("weight"), "winner_id")
+    rows = records.select(*entity, F.try_element_at("record", F.lit("row_id")).alias("row_id")).where(~is_missing(F.col("row_id"))).distinct()
+    ids = F.array_sort(F.array_distinct(F.filter("chunk_ids", lambda x: x.isNotNull() & (F.trim(x) != ""))))
+    proved = table(spark, folder, "row_provenance").select("row_id", F.coalesce(ids, F.array().cast("array<string>")).alias("tokens"), F.unix_micros("created_at").alias("made"))
+    lists = rows.join(proved, "row_id").select(*entity, F.lit("chunk_ids").alias("field_name"), F.array_join("tokens", " ").alias("value"), "tokens", F.concat(sortable(F.size("tokens"), F.col("made")), "row_id").alias("priority"), F.size("tokens").cast("double").alias("weight"), F.col("row_id").alias("winner_id"))
+    return surviving_values(fields.unionByName(lists), [*entity, "field_name"], rule)
+
+
+@query("""WITH r AS (SELECT result_id, table_name, extracted_at, trust_rank, unnest(records) AS record FROM extraction_result LEFT JOIN extractor_trust USING (extractor)),
+e AS (SELECT *, lower(trim(regexp_replace(CASE WHEN table_name = 'team' THEN record['team_name'] ELSE record['name'] END, '\\s+', ' ', 'g'))) AS entity_key FROM r WHERE record IS NOT NULL),
+n AS (SELECT *, count(*) OVER (PARTITION BY table_name, entity_key) AS n FROM e WHERE entity_key NOT IN ('', 'n/a', 'none', 'null', 'unknown')),
+f AS (SELECT table_name, entity_key, result_id, trust_rank, extracted_at, unnest(map_entries(record)) AS x FROM n WHERE n > 1),
+w AS (SELECT table_name, entity_key, x.key AS field_name, first(CAST(result_id AS VARCHAR) ORDER BY trust_rank ASC NULLS LAST, extracted_at DESC NULLS LAST, result_id DESC) AS winner_id
+  FROM f WHERE x.key <> 'row_id' AND lower(trim(regexp_replace(x.value, '\\s+', ' ', 'g'))) NOT IN ('', 'n/a', 'none', 'null', 'unknown') GROUP BY 1, 2, 3),
+c AS (SELECT DISTINCT table_name, entity_key, x.value AS row_id FROM f WHERE x.key = 'row_id'),
+p AS (SELECT c.table_name, c.entity_key, c.row_id, q.created_at, len(list_distinct(list_filter(q.chunk_ids, lambda y: y IS NOT NULL AND trim(y) <> ''))) AS k FROM c JOIN row_provenance q USING (row_id))
+SELECT * FROM w UNION ALL SELECT table_name, entity_key, 'chunk_ids', first(row_id ORDER BY k DESC, created_at DESC NULLS LAST, row_id DESC) FROM p GROUP BY 1, 2""")
+def p6_found(spark, folder):
+    return _survivors(spark, folder, "trust").select("table_name", "entity_key", "field_name", "winner_id")
+
+
+@query()
+def p6_entities(spark, folder):
+    """One record per entity with several records: its fields by trust, and the chunks that prove it."""
+    kept = _survivors(spark, folder, "trust")
+    fields = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("field_name") != "chunk_ids", F.struct("field_name", "value")))))
+    sources = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("field_name") != "chunk_ids", F.struct("field_name", "winner_id")))))
+    chunks = F.max(F.when(F.col("field_name") == "chunk_ids", F.split("value", " ")))
+    return kept.groupBy("table_name", "entity_key").agg(fields.alias("record"), sources.alias("from_results"), chunks.alias("chunk_ids"))
+
+
+@query()
+def p6_votes(spark, folder):
+    """The values closest to the consensus of all records, each record one vote."""
+    return _survivors(spark, folder, "votes").where("field_name != 'chunk_ids'").select("table_name", "entity_key", "field_name", "value", "winner_id", "n_values", "n_records")
