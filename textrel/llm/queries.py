@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from textrel.functions.text import is_missing, match_key
 from textrel.llm.garbled import find_garbled, pair_counts
+from textrel.llm.mixing import mix_sources
+from textrel.llm.packing import fill_report, pack_documents
 from textrel.llm.pieces import oversized, split_texts
 from textrel.llm.survivors import sortable, surviving_values, tokens_of
+from textrel.llm.tokens import token_count
 from textrel.llm.variants import pairs_of, variant_groups
 from textrel.operators.skew import salted_join
-from textrel.session import table
+from textrel.session import checkpointed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +135,40 @@ def p6_entities(spark, folder):
 def p6_votes(spark, folder):
     """The values closest to the consensus of all records, each record one vote."""
     return _survivors(spark, folder, "votes").where("field_name != 'chunk_ids'").select("table_name", "entity_key", "field_name", "value", "winner_id", "n_values", "n_records")
+
+
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), token_count(F.col("text")).alias("n_tokens"))
+
+
+@query()
+def p8_containers(spark, folder):
+    """All documents in containers of each capacity."""
+    return pack_documents(_sizes(spark, folder).drop("source"), table(spark, folder, "pack_specs"))
+
+
+@query()
+def p8_fill(spark, folder):
+    """How full the containers of each capacity are."""
+    specs = table(spark, folder, "pack_specs")
+    return fill_report(pack_documents(_sizes(spark, folder).drop("source"), specs), specs)
+
+
+@query()
+def p9_mix(spark, folder):
+    """The documents to draw, with repeats, for the largest mixture that has the target shares exactly."""
+    return mix_sources(_sizes(spark, folder), table(spark, folder, "mix_targets"))[0]
+
+
+@query()
+def p9_shares(spark, folder):
+    """Shares reached by that mixture."""
+    return mix_sources(_sizes(spark, folder), table(spark, folder, "mix_targets"))[1]
+
+
+@query()
+def p9_shares_of_budget(spark, folder):
+    """Shares reached for as many tokens as all documents have, which small sources cannot give within their caps."""
+    sizes = checkpointed(_sizes(spark, folder))
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    return mix_sources(sizes, table(spark, folder, "mix_targets"), float(total))[1]
