@@ -12,6 +12,7 @@ from textrel.llm.garbled import find_garbled, pair_counts
 from textrel.llm.mixing import mix_sources
 from textrel.llm.packing import fill_report, pack_documents
 from textrel.llm.pieces import oversized, split_texts
+from textrel.llm.sentences import learn, sentence_units
 from textrel.llm.survivors import sortable, surviving_values, tokens_of
 from textrel.llm.tokens import token_count
 from textrel.llm.variants import pairs_of, variant_groups
@@ -172,3 +173,9 @@ def p9_shares_of_budget(spark, folder):
     sizes = checkpointed(_sizes(spark, folder))
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
     return mix_sources(sizes, table(spark, folder, "mix_targets"), float(total))[1]
+
+
+@query()
+def p10_found(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return sentence_units(documents, learn(documents)).select("doc_id", "sent_start", "sent_end")
