@@ -82,7 +82,7 @@ def recursive_chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_SIZE,
     def cut(s: pd.Series) -> pd.Series:
         return s.map(lambda t: split_recursive(t, size, overlap))
 
-    rows = df.where(F.trim(text) != "")
+    rows = df.where(F.col(text).rlike(r"\S"))
     short = rows.where(F.length(text) <= size).select(key, F.array(F.regexp_replace(text, r"^\s+|\s+$", "")).alias("_c"))
     long = rows.where(F.length(text) > size).select(key, cut(F.col(text)).alias("_c"))
     return short.unionByName(long).select(key, F.posexplode("_c").alias("chunk_index", "content"))

@@ -134,9 +134,9 @@ def propagate(edges: list[tuple[str, str, str, float, int]]) -> dict[tuple[str,
             step = snapped(f, d)
             if ((f, a) in fixed) != ((f, b) in fixed):
                 if (f, a) in fixed:
-                    fixed[f, b] = fixed[f, a] + step
+                    fixed[f, b] = fixed[f, a] - step
                 else:
-                    fixed[f, a] = fixed[f, b] - step
+                    fixed[f, a] = fixed[f, b] + step
                 grew = True
                 break
     return fixed

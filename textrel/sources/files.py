@@ -26,7 +26,7 @@ def text_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def table_documents(spark: SparkSession, folder: str, table_name: str) -> DataFrame:
     """The non-blank documents of one table: doc_id ``doc::<table>::<stem>`` and text."""
-    docs = text_documents(spark, folder).where((F.col("table_name") == table_name) & (F.trim("text") != ""))
+    docs = text_documents(spark, folder).where((F.col("table_name") == table_name) & F.col("text").rlike(r"\S"))
     stem = F.regexp_extract("doc_id", r"([^/]+)\.txt$", 1)
     return docs.select(F.concat(F.lit(f"doc::{table_name}::"), stem).alias("doc_id"), "text")
 
@@ -115,6 +115,10 @@ def workload(text: str) -> list[Statement]:
                 pending = m[1].strip().rstrip(":")
             i = end
             continue
+        elif text.startswith("/*", i):
+            end = text.find("*/", i + 2)
+            i = len(text) if end < 0 else end + 2
+            continue
         elif c == ";":
             sql = _comment_free(text[start:i]).strip()
             if sql:
