@@ -69,12 +69,15 @@ def pack_documents(sizes: DataFrame, specs: DataFrame, seed: int = 17, group_tok
     ``sizes`` has doc_id (unique) and n_tokens; ``specs`` (spec_name, capacity_tokens) is a small fixed table with
     capacities of at least 1. A document beyond the capacity is cut into full containers of its own; its rest is packed
     like a short document. Documents without tokens (0 or null) take no room and stand in some container, so that every
-    document is there once. ``sizes`` is written to the checkpoint folder, since two passes read it.
+    document is there once. Without specs there are no rows. ``sizes`` is written to the checkpoint folder, since two passes read it.
     """
     held = checkpointed(sizes.select(F.col("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")))
     total, items = held.agg(F.sum("n_tokens"), F.count("*")).first()
     groups = max(1, ceil((total or 0) / group_tokens), ceil(items / group_items))
     kinds = [F.struct(F.lit(r["spec_name"]).alias("spec_name"), F.lit(r["capacity_tokens"]).cast("bigint").alias("capacity")) for r in specs.collect()]
+    kind = dict(sizes.dtypes)["doc_id"]
+    if not kinds:
+        return held.sparkSession.createDataFrame([], f"spec_name string, container_id string, position int, doc_id {kind}, piece_no int, token_start long, token_end long")
     each = held.select("*", F.inline(F.array(*kinds)))
     each = each.withColumn("whole", F.expr("n_tokens div capacity")).withColumn("rest", F.col("n_tokens") - F.col("whole") * F.col("capacity"))
     full = each.where("whole > 0").select("spec_name", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("piece"))
@@ -103,7 +106,6 @@ def pack_documents(sizes: DataFrame, specs: DataFrame, seed: int = 17, group_tok
                 out.append((spec, f"{spec}-g-{grp}-{k}", inside[k], doc, whole, whole * capacity, whole * capacity + rest))
             yield pd.DataFrame(out, columns=["spec_name", "container_id", "position", "doc_id", "piece_no", "token_start", "token_end"])
 
-    kind = dict(sizes.dtypes)["doc_id"]
     sorted_groups = loose.repartition("spec_name", "grp").sortWithinPartitions("spec_name", "grp", F.desc("rest"), "doc_id")
     packed = sorted_groups.mapInPandas(pack, f"spec_name string, container_id string, position int, doc_id {kind}, piece_no int, token_start long, token_end long")
     return full.unionByName(packed)
@@ -113,4 +115,4 @@ def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """Per spec: containers, tokens in them, share of their room that is filled, pieces, and documents cut."""
     per = packed.groupBy("spec_name", "container_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"), F.count("*").alias("pieces"), F.sum((F.col("piece_no") == 1).cast("int")).alias("cut"))
     sums = per.groupBy("spec_name").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("pieces").alias("pieces"), F.sum("cut").alias("documents_cut"))
-    return sums.join(F.broadcast(specs), "spec_name").select("spec_name", "capacity_tokens", "containers", "tokens", "pieces", "documents_cut", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
+    return sums.join(F.broadcast(specs.select("spec_name", "capacity_tokens")), "spec_name").select("spec_name", "capacity_tokens", "containers", "tokens", "pieces", "documents_cut", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
