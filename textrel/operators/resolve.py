@@ -98,17 +98,19 @@ def mentions_of(rows: DataFrame, row: str, columns: dict[str, str]) -> DataFrame
     return long.select(row, "column_name", F.element_at(types, F.col("column_name")).alias("semantic_type"), "value")
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "vec_id", vector_id: str = "vec_id", column: str = "embedding", blocks: int = 16) -> DataFrame:
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "vec_id", vector_id: str = "vec_id", column: str = "embedding", block: int = 512, parts: int = 64) -> DataFrame:
     """The k vectors of highest cosine to each query, other than itself: query_id, vec_id, cosine, rank. Ties by vec_id.
 
-    The queries are gathered to blocks, each a matrix; every vector is scored against every block, and each partial result
-    is cut to the k best of its part before the final ranking. The number of queries is meant to be a small part of the vectors.
+    Exact: the queries are gathered to blocks of about ``block``, and each part of the vectors meets each block; a part's
+    result is cut to its k best per query before the final ranking. Zero vectors and nulls have no neighbours.
     """
     q = queries.select(F.col(query_id).alias("query_id"), vector(F.col(column)).alias("_q")).withColumn("_qn", norm(F.col("_q"))).where("_qn > 0")
+    blocks = max(1, -(-q.count() // block))
     packed = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("query_id", "_q", "_qn")).alias("_qs"))
+    packed = packed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
     v = vectors.select(F.col(vector_id).alias("vec_id"), vector(F.col(column)).alias("_v")).withColumn("_vn", norm(F.col("_v"))).where("_vn > 0")
-    v = v.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    scored = v.join(packed, "_block").select("_part", "vec_id", "_v", "_vn", F.explode("_qs").alias("_e")).where(F.col("_e.query_id") != F.col("vec_id"))
+    v = v.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    scored = v.join(packed, ["_block", "_part"]).select("_part", "vec_id", "_v", "_vn", F.explode("_qs").alias("_e")).where(F.col("_e.query_id") != F.col("vec_id"))
     scored = scored.select("_part", "vec_id", F.col("_e.query_id").alias("query_id"), (dot(F.col("_v"), F.col("_e._q")) / (F.col("_vn") * F.col("_e._qn"))).alias("cosine"))
     order = [F.desc("cosine"), F.col("vec_id")]
     some = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_r") <= k)
