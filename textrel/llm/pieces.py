@@ -28,7 +28,7 @@ _BOUNDARIES = re.compile(
 )
 _LEVEL = {"p": 5, "l": 4, "s": 3, "c": 2, "w": 1}
 _KEYS = "_item string, _range long"
-_PIECES = f"{_KEYS}, _local int, _start long, _end long, _body long, _n int, content string"
+_PIECES = f"{_KEYS}, _local int, _start long, _end long, _body long, _n int, _alone boolean, content string"
 
 
 def boundaries(text: str) -> tuple[list[int], list[int]]:
@@ -103,22 +103,21 @@ def _cut_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for item, no, text, body_at, body, longest, shared, last in b.itertuples(index=False):
             pieces = cut_range(text, body_at, body, longest, shared, no == 0, bool(last))
             for k, (i, j) in enumerate(pieces):
-                out.append((item, no, k, i, j, body, len(pieces), text[max(0, body_at + i) : body_at + j]))
+                out.append((item, no, k, i, j, body, len(pieces), no == 0 and bool(last), text[max(0, body_at + i) : body_at + j]))
             if not pieces:
-                out.append((item, no, -1, 0, 0, body, 0, None))
-        yield pd.DataFrame(out, columns=["_item", "_range", "_local", "_start", "_end", "_body", "_n", "content"])
+                out.append((item, no, -1, 0, 0, body, 0, False, None))
+        yield pd.DataFrame(out, columns=["_item", "_range", "_local", "_start", "_end", "_body", "_n", "_alone", "content"])
 
 
 def _stitch(cuts: DataFrame) -> DataFrame:
-    """Offsets and numbers of pieces within their text: _item, piece_no, start, end, content."""
+    """Offsets and numbers of pieces within their text: _item, piece_no, start, end, content. Texts of one range need no stitching."""
+    alone = cuts.where("_alone").select("_item", F.col("_local").alias("piece_no"), F.col("_start").alias("start"), F.col("_end").alias("end"), "content")
+    cuts = cuts.where("NOT _alone")
     table = cuts.where("_local <= 0").select("_item", "_range", "_body", "_n")
     before = Window.partitionBy("_item").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = table.select("_item", "_range", F.coalesce(F.sum("_body").over(before), F.lit(0)).alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    return (
-        cuts.where("_local >= 0")
-        .join(base, ["_item", "_range"])
-        .select("_item", (F.col("_first") + F.col("_local")).cast("int").alias("piece_no"), (F.col("_at") + F.col("_start")).alias("start"), (F.col("_at") + F.col("_end")).alias("end"), "content")
-    )
+    stitched = cuts.where("_local >= 0").join(base, ["_item", "_range"])
+    return alone.unionByName(stitched.select("_item", (F.col("_first") + F.col("_local")).cast("int").alias("piece_no"), (F.col("_at") + F.col("_start")).alias("start"), (F.col("_at") + F.col("_end")).alias("end"), "content"))
 
 
 def text_ranges(df: DataFrame, item: str, column: str, size: int = RANGE) -> DataFrame:
@@ -143,8 +142,8 @@ def oversized(df: DataFrame, item: str, column: str, limits: DataFrame, size: in
     return total.join(F.broadcast(limits), keys).where(F.col("n_chars") > F.col("max_chars"))
 
 
-def split_texts(df: DataFrame, item: str, column: str, limits: DataFrame, size: int = RANGE) -> DataFrame:
-    """All texts as pieces: item, piece_no, start, end (code points, end exclusive), content.
+def split_texts(df: DataFrame, item: str, column: str, limits: DataFrame, size: int = RANGE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All texts as pieces: item, the columns ``keep``, piece_no, start, end (code points, end exclusive), content.
 
     ``item`` is a unique string key. ``limits`` (max_chars, overlap_chars by the columns it shares with ``df``) is a
     small fixed table. Texts within their limit, and those without one, are one piece and never leave the JVM; a null
@@ -153,9 +152,9 @@ def split_texts(df: DataFrame, item: str, column: str, limits: DataFrame, size:
     make the key unique first.
     """
     keys = [c for c in limits.columns if c in df.columns]
-    rows = df.join(F.broadcast(limits), keys, "left").select(F.col(item).alias("_item"), F.col(column).alias("_text"), F.coalesce(F.char_length(column), F.lit(0)).alias("_n"), "max_chars", "overlap_chars")
+    rows = df.join(F.broadcast(limits), keys, "left").select(F.col(item).alias("_item"), F.col(column).alias("_text"), F.coalesce(F.char_length(column), F.lit(0)).alias("_n"), "max_chars", "overlap_chars", *keep)
     over = F.coalesce(F.col("_n") > F.col("max_chars"), F.lit(False))
-    whole = rows.where(~over).select("_item", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("start"), F.col("_n").cast("bigint").alias("end"), F.col("_text").alias("content"))
+    whole = rows.where(~over).select("_item", *keep, F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("start"), F.col("_n").cast("bigint").alias("end"), F.col("_text").alias("content"))
     left, right = F.col("overlap_chars") + MARGIN, F.col("max_chars") + MARGIN
     last = F.floor((F.col("_n") - 1) / F.lit(size))
     parts = rows.where(over).withColumn("_range", F.explode(F.sequence(F.lit(0), last.cast("int"))))
@@ -171,7 +170,10 @@ def split_texts(df: DataFrame, item: str, column: str, limits: DataFrame, size:
         (F.col("_range") == F.floor((F.col("_n") - 1) / F.lit(size))).alias("_last"),
     )
     cuts = ranged.mapInPandas(_cut_all, _PIECES)
-    return whole.unionByName(_stitch(cuts)).withColumnRenamed("_item", item)
+    pieces = _stitch(cuts)
+    if keep:
+        pieces = pieces.join(rows.where(over).select("_item", *keep), "_item")
+    return whole.unionByName(pieces.select(*whole.columns)).withColumnRenamed("_item", item)
 
 
 def split_files(spark: SparkSession, path: str, max_chars: int, overlap_chars: int, size: int = RANGE) -> DataFrame:
