@@ -15,7 +15,7 @@ from textrel.llm.pieces import oversized, split_texts
 from textrel.llm.sentences import learn, sentence_units
 from textrel.llm.survivors import sortable, surviving_values, tokens_of
 from textrel.llm.tokens import token_count
-from textrel.llm.variants import pairs_of, variant_groups
+from textrel.llm.variants import pairs_of, variant_groups_of
 from textrel.operators.skew import salted_join
 from textrel.session import checkpointed, table
 
@@ -67,23 +67,24 @@ def p4_found(spark, folder):
 @query()
 def p4_pieces(spark, folder):
     """All chunks as pieces within the limits. chunk_index orders the pieces of a document: the old index, then the piece."""
-    chunks = _chunks(spark, folder)
-    pieces = split_texts(chunks.select("chunk_id", "table_name", "content"), "chunk_id", "content", table(spark, folder, "chunk_limits"))
-    order = chunks.select("chunk_id", "doc_id", F.col("chunk_index").alias("old_index"))
-    return pieces.join(order, "chunk_id").select("chunk_id", "doc_id", (F.col("old_index").cast("bigint") * (1 << 20) + F.col("piece_no")).alias("chunk_index"), "piece_no", "start", "end", "content")
+    chunks = _chunks(spark, folder).select("chunk_id", "table_name", "content", "doc_id", F.col("chunk_index").alias("old_index"))
+    pieces = split_texts(chunks, "chunk_id", "content", table(spark, folder, "chunk_limits"), keep=("doc_id", "old_index"))
+    return pieces.select("chunk_id", "doc_id", (F.col("old_index").cast("bigint") * (1 << 20) + F.col("piece_no")).alias("chunk_index"), "piece_no", "start", "end", "content")
+
+
+def _variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_groups_of({t: table(spark, folder, t) for t in ("player", "owner", "team")})
 
 
 @query()
 def p5_found(spark, folder):
-    parts = [pairs_of(variant_groups(table(spark, folder, t), t)).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t in ("player", "owner", "team")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return pairs_of(_variants(spark, folder), ("table_name", "entity_id"))
 
 
 @query()
 def p5_groups(spark, folder):
     """One row per id with the smallest id of the same person, organisation or club."""
-    parts = [variant_groups(table(spark, folder, t), t).select(F.lit(t).alias("table_name"), "id", "entity_id") for t in ("player", "owner", "team")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _variants(spark, folder)
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
