@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from textrel.functions.similarity import dot, edit_ratio, norm, vector
 from textrel.functions.text import normalized
+from textrel.operators.components import components
 from textrel.operators.skew import salted_join
-from textrel.session import checkpointed
 
 #: Similarity of a block, of a match, neighbours per mention, and the lexical threshold of augmented joins.
 BLOCK_SIMILARITY, MATCH_SIMILARITY, NEIGHBOURS, JOIN_SIMILARITY = 0.75, 0.95, 20, 0.85
@@ -67,17 +67,7 @@ def similar_pairs(mentions: DataFrame, column: str, threshold: float = MATCH_SIM
 
 def cluster_labels(pairs: DataFrame) -> DataFrame:
     """(mention, cluster): the smallest mention reachable over the pairs (a, b), for every mention in a pair."""
-    both = checkpointed(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("mention")).agg(F.least(F.min("b"), F.col("mention")).alias("cluster"))
-    while True:
-        near = both.join(labels, both["b"] == labels["mention"]).groupBy("a").agg(F.min("cluster").alias("near"))
-        jump = labels.select(F.col("mention").alias("_at"), F.col("cluster").alias("_to"))
-        step = labels.join(near, F.col("mention") == F.col("a"), "left").withColumn("taken", F.least("cluster", F.coalesce("near", "cluster")))
-        step = checkpointed(step.join(jump, F.col("taken") == F.col("_at"), "left").select("mention", "cluster", F.least("taken", F.coalesce("_to", "taken")).alias("new")))
-        moved = not step.where(F.col("new") != F.col("cluster")).limit(1).isEmpty()
-        labels = step.select("mention", F.col("new").alias("cluster"))
-        if not moved:
-            return labels
+    return components(pairs).select(F.col("node").alias("mention"), F.col("label").alias("cluster"))
 
 
 def canonical_forms(labels: DataFrame) -> DataFrame:
