@@ -178,5 +178,5 @@ def p9_shares_of_budget(spark, folder):
 
 @query()
 def p10_found(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    return sentence_units(documents, learn(documents)).select("doc_id", "sent_start", "sent_end")
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return sentence_units(documents, learn(documents, lang="lang"), lang="lang").select("doc_id", "sent_start", "sent_end")
