@@ -66,6 +66,13 @@ def test_lost(model, spark):
         find_garbled(df.withColumnRenamed("id", "restored"), "v", model)
 
 
+def test_lost_at_edges_and_in_passages(model, spark):
+    lost = ["?? ?????? ?????? 22,582 ??????? ????? ?????.", "????1961??????????????6,749????????1980?????", "After the series, ?yvind Kermedahl won", "moved Aleksandar Cormikovi? to No. 8", "outside the U.S. ?5???1.9 m", "?yvind won"]
+    kept = ["Really?? Yes.", "What a game!?? No", "Why? because", "Who else?Nobody", "?Nobody", "Who would replace Luís? Đorđe", "In 2017? No.", "He asked: who? and left", "Quoi ?? Non", "(?)"]
+    df = spark.createDataFrame(list(enumerate(lost + kept)), "id int, v string")
+    assert sorted(r.id for r in find_garbled(df, "v", model).where("restored IS NULL").collect()) == list(range(len(lost)))
+
+
 def test_segments_against_brute_force():
     random.seed(5)
     for _ in range(200):

@@ -10,7 +10,8 @@
    encoding was taken for another, decoded with that other one. A mapping is accepted if it raises the information of the pairs by
    MIN_GAIN (MIN_GAIN_SINGLE for the second kind).
 4. Replacement characters and C1 controls in a run are damage in any case; what they stood for cannot be known. So are
-   question marks inside a word (for names: at its edge too), which no clean text has.
+   question marks inside a word (for names: at its edge too), at the edge of a word where no question can end, and in place
+   of whole passages, which no clean text has.
 
 The reference should be clean; pairs inside damage would support each other otherwise. The tables sent to the workers
 are 2**PAIR_BITS + 2**CHAR_BITS numbers, whatever the size of the corpus.
@@ -323,11 +324,25 @@ _MARK_IN_WORD = re.compile(r"[^\W\d_]\?+(?=[^\W\d_])(.)")
 _MARK_IN_NAME = re.compile(r"[^\W\d_]\?|(?:^|[\s'-])\?+[^\W\d_]")
 
 
+#: Passages of question marks, which no word or sign they could end stands before, and a mark that begins a word.
+_MARK_RUNS = re.compile(r"(?<![^\s\d(.,])\?{4,}|(?<![^\s(])\?{2,}(?=[\s(]*\?{2}|\d)|\d\?{2,}\d|(?<=[\s(\"'«“-])\?[^\W\d_]{2}")
+_MARK_BEFORE_WORD = re.compile(r"([^\W\d_])[^\W\d_]+\?+[ \t]+[a-z]{2}")
+#: The same for the JVM, where it may let more through.
+_MARKS_JVM = r"[a-zA-Z]\?+[a-z]|\?\?|(?:^|[^\p{L}])\?\p{L}|[a-zA-Z]\?+[ \t]+[a-z]"
+
+
 def has_lost_marks(text: str, names: bool) -> bool:
-    """True if a question mark stands for a lost letter: between a letter and a small letter, or, in names, next to a letter."""
+    """True if a question mark stands for a lost letter. In names: next to a letter. Else: between a letter and a small letter;
+    in a run of several that does not follow a word; before the letters of a word that a blank or an opening sign precedes, or
+    before a small letter at the beginning; or at the end of a capitalised word within a sentence, where a small word goes on
+    (no clean document of sf0.1 has any of these)."""
     if names:
         return _MARK_IN_NAME.search(text) is not None
-    return any(m.group(1).islower() for m in _MARK_IN_WORD.finditer(text))
+    if any(m.group(1).islower() for m in _MARK_IN_WORD.finditer(text)) or _MARK_RUNS.search(text):
+        return True
+    if text[:1] == "?" and text[1:2].islower():
+        return True
+    return any(m.group(1).isupper() and re.search(r"[^\W\d_],?[ \t]$", text[max(0, m.start() - 3) : m.start()]) for m in _MARK_BEFORE_WORD.finditer(text))
 
 
 def find_garbled(df: DataFrame, column: str, model: PairModel, names: bool = False) -> DataFrame:
@@ -371,5 +386,5 @@ def find_garbled(df: DataFrame, column: str, model: PairModel, names: bool = Fal
             yield pd.DataFrame(out, columns=["restored", "partly_restored", "encodings"], index=s.index)
 
     # Other texts hold nothing to restore and stay in the JVM.
-    rows = df.where(F.col(column).rlike(r"[^\x00-\x7f]|\?" if names else r"[^\x00-\x7f]|[a-zA-Z]\?+[a-z]")).withColumn("_fix", fix(F.col(column)))
+    rows = df.where(F.col(column).rlike(r"[^\x00-\x7f]|\?" if names else r"[^\x00-\x7f]|" + _MARKS_JVM)).withColumn("_fix", fix(F.col(column)))
     return rows.where(F.col("_fix.partly_restored").isNotNull()).select(*df.columns, "_fix.restored", "_fix.partly_restored", "_fix.encodings")
