@@ -108,6 +108,12 @@ def text_normalized(spark, folder):
     return rows.select("id", tx.normalized(F.col("college")).alias("norm"), tx.normalized_for_match(F.col("college")).alias("match_norm"))
 
 
+@query()
+def text_normalized_whole(spark, folder):
+    """text_normalized of all rows, with 'İ', which DuckDB lowers otherwise, and nulls."""
+    return table(spark, folder, "player").select("id", tx.normalized(F.col("college")).alias("norm"), tx.normalized_for_match(F.col("college")).alias("match_norm"))
+
+
 @query("SELECT DISTINCT k, trim(regexp_replace(regexp_replace(lower(regexp_replace(k, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[\\s\\-]+', '_', 'g'), '_+', '_', 'g'), '_') AS canon FROM (SELECT unnest(schema_keys) AS k FROM extraction_result)")
 def attribute_canonical(spark, folder):
     keys = table(spark, folder, "extraction_result").select(F.explode("schema_keys").alias("k")).distinct()
@@ -179,8 +185,9 @@ neu AS (SELECT k, first(name ORDER BY id, name) AS name, first(age ORDER BY id,
 SELECT old.id, old.name, coalesce(old.age, neu.age) AS age, coalesce(old.nationality, neu.nationality) AS nationality FROM old LEFT JOIN neu USING (k)"""
 
 
-def _upsert(spark, folder, known_only):
-    rows = table(spark, folder, "owner").where(~tx.is_missing(F.col("name")) & ~F.contains("name", F.lit("İ")))
+def _upsert(spark, folder, known_only, whole=False):
+    rows = table(spark, folder, "owner").where(~tx.is_missing(F.col("name")))
+    rows = rows if whole else rows.where(~F.contains("name", F.lit("İ")))
     cut = F.lit("2025-01-01 00:00:00").cast("timestamp")
     old = rows.where(F.col("ingested_at") < cut).select("id", "name", "age", "nationality")
     new = rows.where(F.col("ingested_at") >= cut).select(F.col("id").alias("seen"), "name", "age", "nationality")
@@ -197,6 +204,18 @@ def upsert_known_only(spark, folder):
     return _upsert(spark, folder, True)
 
 
+@query()
+def upsert_coalesce_whole(spark, folder):
+    """upsert_coalesce of all owners with a name, with 'İ' too."""
+    return _upsert(spark, folder, False, whole=True)
+
+
+@query()
+def upsert_known_only_whole(spark, folder):
+    """upsert_known_only of all owners with a name, with 'İ' too."""
+    return _upsert(spark, folder, True, whole=True)
+
+
 @query("""WITH v AS (SELECT user_id, event_type AS v, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2), w AS (SELECT user_id, first(v ORDER BY n DESC, f, v) AS event_type FROM v GROUP BY 1)
 SELECT user_id, event_type, n_rows FROM w JOIN (SELECT user_id, count(*) AS n_rows FROM events GROUP BY 1) USING (user_id)""")
 def frequent_value_merge(spark, folder):
@@ -326,9 +345,10 @@ n AS (SELECT v, r, {_NORM.format('v')} AS n FROM s), c AS (SELECT n, first(v ORD
 SELECT DISTINCT v AS variant, canonical FROM n JOIN c USING (n) WHERE v <> canonical"""
 
 
-def _team_map(spark, folder):
-    p = table(spark, folder, "player").where(~F.contains("team", F.lit("İ")))
-    t = table(spark, folder, "team").where(~F.contains("team_name", F.lit("İ")))
+def _team_map(spark, folder, whole=False):
+    p, t = table(spark, folder, "player"), table(spark, folder, "team")
+    if not whole:
+        p, t = p.where(~F.contains("team", F.lit("İ"))), t.where(~F.contains("team_name", F.lit("İ")))
     return p, rs.alignment_map(p, "team", t, "team_name")
 
 
@@ -343,6 +363,19 @@ def align_apply(spark, folder):
     return rs.apply_map(p.select("id", "team"), "team", mapping)
 
 
+@query()
+def align_exact_whole(spark, folder):
+    """align_exact of all names, with 'İ' too."""
+    return _team_map(spark, folder, whole=True)[1]
+
+
+@query()
+def align_apply_whole(spark, folder):
+    """align_apply of all rows; those without a team stay as they are."""
+    p, mapping = _team_map(spark, folder, whole=True)
+    return rs.apply_map(p.select("id", "team"), "team", mapping)
+
+
 @query()
 def similar_names(spark, folder):
     """Pairs of similar spellings of owners (brute force checks it in the tests)."""
@@ -445,11 +478,22 @@ def dominant_language(spark, folder):
 @query("""SELECT r.result_id, r.name, coalesce(contains(c.content, r.name) OR contains(trim(regexp_replace(replace(lower(c.content), ',', ''), '\\s+', ' ', 'g')), trim(regexp_replace(replace(lower(r.name), ',', ''), '\\s+', ' ', 'g'))), false) AS grounded
 FROM (SELECT result_id, chunk_id, unnest(records)['name'] AS name FROM extraction_result WHERE table_name = 'owner') r JOIN raw_chunks c USING (chunk_id) WHERE r.name IS NOT NULL AND r.name NOT LIKE '%İ%' AND c.content NOT LIKE '%İ%'""")
 def grounded_values(spark, folder):
+    return _grounded(spark, folder)
+
+
+def _grounded(spark, folder, whole=False):
     r = table(spark, folder, "extraction_result").where("table_name = 'owner'").select("result_id", "chunk_id", F.explode("records").alias("r")).select("result_id", "chunk_id", F.try_element_at("r", F.lit("name")).alias("name"))
-    both = r.where(F.col("name").isNotNull() & ~F.contains("name", F.lit("İ"))).join(table(spark, folder, "raw_chunks").select("chunk_id", "content"), "chunk_id").where(~F.contains("content", F.lit("İ")))
+    both = r.where(F.col("name").isNotNull()).join(table(spark, folder, "raw_chunks").select("chunk_id", "content"), "chunk_id")
+    both = both if whole else both.where(~F.contains("name", F.lit("İ")) & ~F.contains("content", F.lit("İ")))
     return both.select("result_id", "name", ex.is_grounded(F.col("name"), F.col("content")).alias("grounded"))
 
 
+@query()
+def grounded_values_whole(spark, folder):
+    """grounded_values of all results and chunks, with 'İ' too."""
+    return _grounded(spark, folder, whole=True)
+
+
 @query()
 def response_parsing(spark, folder):
     """Records read back from answers that wrap them in prose."""
