@@ -34,3 +34,7 @@ def test_nothing_else_imports_the_subpackage():
     for p in (root / "textrel").rglob("*.py"):
         if "llm" not in p.parts:
             assert "textrel.llm" not in p.read_text(), p
+
+
+def test_mix_of_budget_draws_more_than_the_exact_mix(spark, data):
+    assert QUERIES["p9_mix_of_budget"](spark, data).count() > QUERIES["p9_mix"](spark, data).count()

@@ -168,12 +168,22 @@ def p9_shares(spark, folder):
     return mix_sources(_sizes(spark, folder), table(spark, folder, "mix_targets"))[1]
 
 
+def _mix_of_budget(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sizes = checkpointed(_sizes(spark, folder))
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    return mix_sources(sizes, table(spark, folder, "mix_targets"), float(total))
+
+
 @query()
 def p9_shares_of_budget(spark, folder):
     """Shares reached for as many tokens as all documents have, which small sources cannot give within their caps."""
-    sizes = checkpointed(_sizes(spark, folder))
-    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    return mix_sources(sizes, table(spark, folder, "mix_targets"), float(total))[1]
+    return _mix_of_budget(spark, folder)[1]
+
+
+@query()
+def p9_mix_of_budget(spark, folder):
+    """The documents to draw for that budget: sources at their caps in full, their shortfall spread over the others."""
+    return _mix_of_budget(spark, folder)[0]
 
 
 @query()
