@@ -56,7 +56,20 @@ def test_malformed_quotes_and_brackets_are_flagged():
 def test_long_cells_end():
     cell = "; ".join(f"Name {i}" for i in range(5000))
     assert len(parse_values(cell, FIRMS)) == 5000
-    assert len(candidate_runs(", ".join(f"N{i}" for i in range(300)))) <= 8 * 301
+    assert len(candidate_runs(", ".join(f"N{i}" for i in range(300)), [2, 5])) <= 2 * 300
+
+
+def test_full_names_stay_whole_whatever_signs_they_hold(spark):
+    """Any separator, any number of them, quotes and brackets."""
+    long = "A, B, C, D, E, F, G, H, I, J and K Trust"
+    names = ["Hill/Lake Group", "Ann; Bo Trust", "North + South Holdings", long, 'Tim "Q" Fox', "Max", None, "", "Ann; Bo Trust"]
+    cells = {1: ("Hill/Lake Group; Ann; Bo  Trust", ["Hill/Lake Group", "Ann; Bo  Trust"]), 2: (f"{long.lower()} & Bo", [long.lower(), "Bo"]), 3: ("North + South Holdings | Max", ["North + South Holdings", "Max"]), 4: ('"Ann; Bo Trust", Tim "Q" Fox (49%) & Zed', ["Ann; Bo Trust", 'Tim "Q" Fox', "Zed"]), 5: ("[Hill/Lake Group, Max]", ["Hill/Lake Group", "Max"])}
+    df = spark.createDataFrame([(i, c) for i, (c, _) in cells.items()], "id int, cell string")
+    got = {}
+    for r in split_packed(df, "cell", lexicon=spark.createDataFrame([(n,) for n in names], "name string")).orderBy("id", "value_pos").collect():
+        got.setdefault(r.id, []).append(r.item_value)
+        assert r.flag == ""
+    assert got == {i: v for i, (_, v) in cells.items()}
 
 
 def test_split_packed(spark):

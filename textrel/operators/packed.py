@@ -1,16 +1,18 @@
 """Several values packed in one cell: a parsing expression grammar with ordered alternatives.
 
     cell      <- blank* item? (separator+ item)* separator* end
-    item      <- quoted remark? / bracketed / bare remark?
+    item      <- known remark? / quoted remark? / bracketed / bare remark?
     quoted    <- open (!close any)* close &(blank* remark? (separator / end))     tried for each pair of quotes
     bracketed <- '[' cell ']' &(blank* (separator / end))
-    bare      <- known &(blank* remark? (separator / end)) / firm &(...) / (!separator any)+
+    known     <- a value of the lexicon &(blank* remark? (separator / end))
+    bare      <- firm &(blank* remark? (separator / end)) / (!separator any)+
     remark    <- '(' (remark / !')' any)* ')'
     separator <- blank* (';' / ',' / '|' / '/' / '&' / '+' / bullet / tab / newline / 'and' / dash after known) blank*
 
-Alternatives are tried in order. A quote whose closing mark is not followed by a separator or the end is no quote
+``known`` comes first where the value of a lexicon begins with a quote or bracket. Alternatives are tried in order. A quote whose closing mark is not followed by a separator or the end is no quote
 there; the parser moves to the next closing mark, and when none fits it goes back and reads a bare value with the flag
-``quote``. ``known`` is a value of a lexicon (it may hold separators), ``firm`` the pattern of a partnership's name.
+``quote``. A value of the lexicon stays as it is, whatever separators, quotes or brackets it holds; ``firm`` is the pattern of a
+partnership's name, for firms that the lexicon does not have.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from textrel.functions.text import is_missing, squeezed
 from textrel.operators.skew import salted_join
+from textrel.session import checkpointed
 
 #: Opening and closing quotation marks.
 QUOTES = (('"', '"'), ("“", "”"), ("„", "“"), ("«", "»"), ("'", "'"), ("‘", "’"))
@@ -38,8 +41,8 @@ FIRM = re.compile(
     rf"(?:{_NAME},[ ]+)*{_NAME}[ ]+(?:&|and)[ ]+{_NAME}(?:[ ]+(?:&|and)?[ ]*{_NAME}){{0,4}}?[ ]+(?:{FIRM_WORDS})\b(?:,?[ ]+(?:{LEGAL_FORMS})(?=\W|$))?"
 )
 BLANKS = "  \t\r\n"
-#: A run of this many parts of one cell at most is looked up as one value of the lexicon.
-LONGEST_RUN = 8
+#: Words and single signs of a text, blanks left out.
+TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def _blank(s: str, i: int) -> int:
@@ -104,22 +107,28 @@ class Lexicon:
 
 
 def _item(s: str, i: int, lexicon: Lexicon, stop: str) -> tuple[int, list[tuple[str, str]]]:
-    """Parse one item at ``i``: where it ends, and its values with flags."""
+    """Parse one item at ``i``: where it ends, and its cleaned values with flags."""
+    end = lexicon.match(s, i, stop)
+    if end is not None:
+        return _after(s, end, [(s[i:end], "")], stop)
     flag = ""
     for opening, closing in QUOTES:
         if s[i] != opening:
             continue
+        inside = _blank(s, i + 1)
+        end = lexicon.match(s, inside, closing) if inside < len(s) else None
+        if end is not None and (j := _blank(s, end)) < len(s) and s[j] == closing and _ends(s, j + 1, lexicon.dashes, stop):
+            return _after(s, j + 1, [(s[inside:end], "")], stop)
         j = s.find(closing, i + 1)
         while j >= 0:
             if s[j - 1] != "\\" and _ends(s, j + 1, lexicon.dashes, stop):
-                return _after(s, j + 1, [(s[i + 1 : j], "")], stop)
+                return _after(s, j + 1, [(_clean(s[i + 1 : j]), "")], stop)
             j = s.find(closing, j + 1)
         flag = "quote"
     if s[i] == "[":
         j = s.rfind("]")
         if j > i and _ends(s, j + 1, lexicon.dashes, stop):
-            inner = s[i + 1 : j]
-            return _after(s, j + 1, [x for _, x in enumerate(parse_values(inner, lexicon))], stop)
+            return _after(s, j + 1, parse_values(s[i + 1 : j], lexicon), stop)
         flag = "bracket"
     if flag:
         i += 1
@@ -144,7 +153,7 @@ def _item(s: str, i: int, lexicon: Lexicon, stop: str) -> tuple[int, list[tuple[
             else:
                 end += 1
         end = max(end, i)
-    return _after(s, end, [(s[i:end], flag)], stop)
+    return _after(s, end, [(_clean(s[i:end]), flag)], stop)
 
 
 def _after(s: str, i: int, values: list[tuple[str, str]], stop: str) -> tuple[int, list[tuple[str, str]]]:
@@ -189,7 +198,7 @@ def parse_values(s: str, lexicon: Lexicon) -> list[tuple[str, str]]:
     i = _separators(text, _blank(text, 0), False)
     while i < len(text):
         end, values = _item(text, i, lexicon, "")
-        out.extend((c, f) for v, f in values if (c := _clean(v)))
+        out.extend((v, f) for v, f in values if v)
         nxt = _separators(text, _blank(text, end), lexicon.dashes)
         if nxt == i:  # nothing could be read here
             nxt = i + 1
@@ -197,34 +206,23 @@ def parse_values(s: str, lexicon: Lexicon) -> list[tuple[str, str]]:
     return out
 
 
-def candidate_runs(s: str) -> list[str]:
-    """Runs of two or more neighbouring parts of a cell that could be one value of a lexicon, blanks collapsed.
+def run_key(tokens: list[str]) -> str:
+    return " ".join(tokens).lower()
 
-    The bound of LONGEST_RUN parts keeps the number of runs linear in the length of the cell.
-    """
-    cuts = [(m.start(), m.end()) for m in re.finditer(r"\s*,\s*|\s*&\s*|\sand\s", s)]
-    if not cuts:
-        return []
-    starts = sorted({0, *(e for _, e in cuts), *(m.end() for m in re.finditer(r"[;|/+•\t\n\[\"“'(]\s*", s))})
-    ends = sorted({len(s), *(a for a, _ in cuts), *(m.start() for m in re.finditer(r"\s*[;|/+•\t\n\]\"”'(]", s))})
-    runs = set()
-    for a in starts:
-        n = 0
-        for b in ends:
-            if b <= a:
-                continue
-            n += 1
-            if n > LONGEST_RUN:
-                break
-            v = " ".join(s[a:b].split())
-            if re.search(r",|&|\band\b", v):
-                runs.add(v)
-    return sorted(runs)
+
+def candidate_runs(s: str, lengths: list[int]) -> list[str]:
+    """Keys of the runs of tokens of a cell that could be a value of a lexicon whose values have one of ``lengths`` tokens: the runs
+    that begin where a value may begin (at the front, or behind a sign or ``and``)."""
+    tokens = TOKEN.findall(s)
+    starts = [i for i in range(len(tokens)) if not i or not tokens[i - 1][0].isalnum() or tokens[i - 1].lower() == "and"]
+    return sorted({run_key(tokens[i : i + n]) for i in starts for n in lengths if i + n <= len(tokens)})
 
 
 _PARSED = "array<struct<value_pos:int,item_value:string,flag:string>>"
 #: A cell without any of these is one bare value and needs no parser.
 _SPECIAL = r"[;,|/&+•\t\r\n\[\]()\"“”„«»'‘’–—-]|\sand\s"
+#: A value of a lexicon without any of these is read as one value anyway.
+_TEARING = r"(?i)[;,|/&+•\t\r\n\[\]()\"“”„«»]|^['‘]|\sand\s"
 
 
 def _struct(values: list[tuple[str, str]]) -> list[dict]:
@@ -234,8 +232,10 @@ def _struct(values: list[tuple[str, str]]) -> list[dict]:
 def split_packed(df: DataFrame, cell: str, lexicon: DataFrame | None = None, small_lexicon: list[str] | None = None, dashes: bool = False) -> DataFrame:
     """One row per value of column ``cell``: the columns of ``df`` plus n_values, value_pos, item_value and flag.
 
-    ``lexicon`` is a one-column DataFrame of values that stay whole; it may be of any size: runs of parts from the
-    distinct cells are looked up by an equi-join, only the hits of a cell travel with it. ``small_lexicon`` is a list
+    ``lexicon`` is a one-column DataFrame of values that stay whole; it may be of any size. Those that hold signs (the others
+    need no help) are looked up by an equi-join: each run of tokens of a distinct cell that begins where a value may begin and is
+    as long as one of them is met by its key, so a value of any number of separators is found; only the hits of a cell travel
+    with it. ``small_lexicon`` is a list
     for lexicons of a fixed, small size. ``dashes`` lets a dash behind a value of the lexicon separate values.
 
     Missing cells and cells of separators only give no row. Plain cells (most of them) never leave the JVM. Repeated
@@ -261,21 +261,34 @@ def split_packed(df: DataFrame, cell: str, lexicon: DataFrame | None = None, sma
         packed = packed.withColumn("_items", parsed(F.col(cell)))
     else:
 
+        name = lexicon.columns[0]
+        values = lexicon.where(~is_missing(F.col(name)) & F.col(name).rlike(_TEARING + (r"|\s[-–—]|[-–—]\s" if dashes else ""))).select(squeezed(F.col(name)).alias("_value")).distinct()
+
+        @F.pandas_udf("struct<key:string,n:int>")
+        def keyed(s: pd.Series) -> pd.DataFrame:
+            found = [TOKEN.findall(x) for x in s]
+            return pd.DataFrame({"key": [run_key(t) for t in found], "n": [len(t) for t in found]})
+
+        known = checkpointed(values.select("_value", keyed("_value").alias("_k")).select("_value", F.col("_k.key").alias("_run"), F.col("_k.n").alias("_n")))
+        lengths = sorted(r[0] for r in known.select("_n").distinct().collect() if r[0])  # as many as the values have different lengths
+
         @F.pandas_udf("array<string>")
         def runs(s: pd.Series) -> pd.Series:
-            return s.map(candidate_runs)
+            return s.map(lambda x: candidate_runs(x, lengths))
 
         @F.pandas_udf(_PARSED)
         def parsed_with(s: pd.Series, known: pd.Series) -> pd.Series:
             shared = Lexicon(small, dashes)
             return pd.Series([_struct(parse_values(x, Lexicon([*small, *k], dashes) if k is not None and len(k) else shared)) for x, k in zip(s, known)], dtype=object)
 
-        name = lexicon.columns[0]
         cells = packed.select(F.col(cell).alias("_cell")).distinct()
-        known = lexicon.where(~is_missing(F.col(name))).select(squeezed(F.col(name)).alias("_run")).distinct()
-        spans = cells.where(F.col("_cell").rlike(r",|&|\sand\s")).select("_cell", F.explode(runs("_cell")).alias("_run"))
-        hits = spans.join(known, "_run").groupBy("_cell").agg(F.collect_set("_run").alias("_known"))
-        cells = cells.join(hits, "_cell", "left").select("_cell", parsed_with("_cell", "_known").alias("_items"))
+        if lengths:
+            spans = cells.select("_cell", F.explode(runs("_cell")).alias("_run"))
+            hits = spans.join(known.select("_run", "_value"), "_run").groupBy("_cell").agg(F.collect_set("_value").alias("_known"))
+            cells = cells.join(hits, "_cell", "left")
+        else:
+            cells = cells.withColumn("_known", F.lit(None).cast("array<string>"))
+        cells = cells.select("_cell", parsed_with("_cell", "_known").alias("_items"))
         packed = salted_join(packed.withColumn("_cell", F.col(cell)), cells, ["_cell"], df.columns).drop("_cell")
     items = simple.select(*df.columns, "_items").unionByName(packed.select(*df.columns, "_items"))
     return items.withColumn("n_values", F.size("_items")).select(*df.columns, "n_values", F.inline("_items"))
