@@ -3,8 +3,9 @@
 Parent and child keys are united in long form and grouped by parent table and key; groups without a parent are
 ``missing``. For the rest the number of living parents at each distinct time of the key decides: a parent adds one at
 its first time and takes one away at its last, and a running sum per key gives the number alive at a child's time.
-Both sides are aggregated to one row per (parent table, key, time) before the shuffle, so a key with a third of all
-references is a few rows there.
+Both sides are aggregated to one row per (parent table, key, time) first. The running sum is taken in slices of the rows
+in order of key and time (skew.range_bucketed): within a slice, plus what the key's slices before it add up to. A key with
+a third of all references, each at its own time, is many slices.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textrel.functions.text import is_missing, match_key, squeezed
-from textrel.operators.skew import salted_join
+from textrel.operators.skew import range_bucketed, salted_join
+from textrel.session import checkpointed
 
 REFERENCE_COLUMNS = ["parent_table", "table_name", "field_name", "rec_id", "ref_value", "at"]
 
@@ -51,9 +53,10 @@ def orphan_references(refs: DataFrame, parents: list[Parent]) -> DataFrame:
     match_key. orphan_kind is ``missing`` if no parent has the key at all, else ``late`` if one has since > t, else
     ``deleted``. Rows that repeat (table, field, id, value) count once, at their earliest time. A reference with a null
     time is ``missing`` or ``deleted``, since nothing lives at an unknown time. Parents with a null since never live.
-    Empty tables give an empty result or ``missing`` for all.
+    Empty tables give an empty result or ``missing`` for all. References and slices are written to the checkpoint folder.
     """
-    once = refs.groupBy("parent_table", "table_name", "field_name", "rec_id", "ref_value").agg(F.min("at").alias("at")).withColumn("_key", match_key(F.col("ref_value")))
+    named = refs.withColumn("_key", match_key(F.col("ref_value")))
+    once = checkpointed(named.groupBy("parent_table", "table_name", "field_name", "rec_id", "ref_value", "_key").agg(F.min("at").alias("at")))
     probes = once.groupBy("parent_table", "_key", "at").agg(F.lit(0).cast("bigint").alias("delta")).select("parent_table", "_key", "at", "delta", F.lit(False).alias("is_parent"), F.lit(True).alias("is_child"))
     events = None
     for p in parents:
@@ -66,17 +69,20 @@ def orphan_references(refs: DataFrame, parents: list[Parent]) -> DataFrame:
         ).where(F.col("starts") | (F.col("at").isNotNull() & (F.col("delta") != 0)))
         events = moves if events is None else events.unionByName(moves)
     events = events.groupBy("parent_table", "_key", "at").agg(F.sum("delta").alias("delta"), F.max("starts").alias("is_parent")).withColumn("is_child", F.lit(False))
-    tagged = probes.unionByName(events)
-    whole = Window.partitionBy("parent_table", "_key")
-    until_now = whole.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    key = ["parent_table", "_key"]
+    tagged = range_bucketed(probes.unionByName(events), key, ["at"])
+    sums = tagged.groupBy(*key, "_bucket").agg(F.sum(F.when(F.col("at").isNotNull(), F.col("delta"))).alias("_net"), F.max("is_parent").alias("_parent"), F.max(F.when(F.col("is_parent"), F.col("at"))).alias("_since"), F.max("is_child").alias("_asked"))
+    whole = Window.partitionBy(*key)  # a row per slice
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*key, "_bucket", "_asked", F.coalesce(F.sum("_net").over(before), F.lit(0)).alias("_base"), F.max("_parent").over(whole).alias("any_parent"), F.max("_since").over(whole).alias("last_since")).where("_asked").drop("_asked")
+    until_now = Window.partitionBy(*key, "_bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    alive = F.col("_base") + F.coalesce(F.sum(F.when(F.col("at").isNotNull(), F.col("delta"))).over(until_now), F.lit(0))
     judged = (
-        tagged.withColumn("alive", F.when(F.col("at").isNotNull(), F.sum(F.when(F.col("at").isNotNull(), F.col("delta"))).over(until_now)).otherwise(F.lit(0)))
-        .withColumn("any_parent", F.max("is_parent").over(whole))
-        .withColumn("last_since", F.max(F.when(F.col("is_parent"), F.col("at"))).over(whole))
-        .where(F.col("is_child") & (F.coalesce(F.col("alive"), F.lit(0)) <= 0))
+        tagged.join(bases, [*key, "_bucket"])
+        .withColumn("alive", F.when(F.col("at").isNotNull(), alive).otherwise(F.lit(0)))
+        .where(F.col("is_child") & (F.col("alive") <= 0))
         .select(
-            "parent_table",
-            "_key",
+            *key,
             F.struct(F.col("at")).alias("_at"),
             F.when(~F.col("any_parent"), "missing").when(F.col("last_since") > F.col("at"), "late").otherwise("deleted").alias("orphan_kind"),
         )
