@@ -100,9 +100,15 @@ def test_scores(spark):
     assert m == {"s": (1 / 3, 1 / 3), "n": (1 / 3, 1 / 3)}
     e = ev.group_errors(gold.groupBy("k").agg(F.sum("n").alias("v")), found.groupBy("k").agg(F.sum("n").alias("v")), ["k"], "v")
     assert {r.k: round(r.error, 3) for r in e.collect()} == {1: 0.65, 2: 1.0, 3: 1.0}
-    lists = spark.sql("SELECT array('a','a','b') g, array('a','c') f UNION ALL SELECT array(), array()")
-    got = [tuple(r.s) for r in lists.select(ev.list_scores(F.col("g"), F.col("f"), 1.0).alias("s")).collect()]
-    assert got == [(0.5, 1 / 3), (1.0, 1.0)]
-    names = spark.createDataFrame([("José Núñez",), ("LEE, Ann",), ("Bo Ek Jr.",)], "name string")
-    gold_names = spark.createDataFrame([("Jose Nunez",), ("Ann Lee",), ("bo ek",)], "name string")
-    assert {r.found: (r.gold, r.level) for r in ev.name_matches(gold_names, names, "name").collect()} == {"José Núñez": ("Jose Nunez", 3), "LEE, Ann": ("Ann Lee", 4), "Bo Ek Jr.": ("bo ek", 3)}
+    gold_lists = spark.sql("SELECT * FROM VALUES (1, 'a'), (1, 'a'), (1, 'b'), (2, NULL) AS t(k, v)")
+    found_lists = spark.sql("SELECT * FROM VALUES (1, 'a'), (1, 'c'), (3, 'x') AS t(k, v)")
+    assert {r.k: (r.precision, r.recall) for r in ev.list_scores(gold_lists, found_lists, ["k"], "v", 1.0).collect()} == {1: (0.5, 1 / 3), 2: (1.0, 1.0), 3: (0.0, 0.0)}
+
+
+def test_names_match_in_levels(spark):
+    found = {"José Núñez": ("Jose Nunez", 2), "LEE, Ann": ("Ann Lee", 5), "Bo Ek Jr.": ("bo ek", 2), "Tim van Berg": ("Tim Q. Berg", 3), "Max Paul Horn": ("Paul Otto Horn", 4), "Rob Stone": ("Robert Stone", 6), " Ann Lee ": ("Ann Lee", 1)}
+    names = spark.createDataFrame([(n,) for n in [*found, "Nobody Known", None, "  ", "José Núñez"]], "name string")
+    gold = spark.createDataFrame([(g,) for g in {g for g, _ in found.values()}] + [("Zed Horn",), (None,)], "name string")
+    assert {r.found: (r.gold, r.level) for r in ev.name_matches(gold, names, "name").collect()} == {n.strip(): v for n, v in found.items()}
+    rewritten = sorted(r.name or "" for r in ev.rewritten_keys(gold, names, "name").collect())
+    assert rewritten == sorted([" Ann Lee ", "Nobody Known", "", "  ", *[g for n, (g, _) in found.items() if n != " Ann Lee "], "Jose Nunez"])

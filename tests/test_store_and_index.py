@@ -64,5 +64,4 @@ def test_cell_and_row_provenance(spark):
     assert got == {"a": "c2", "b": "c1"}
     lists = spark.createDataFrame([("r", ["b", "a", None]), ("r", ["a", " "])], "row_id string, ids array<string>")
     assert st.merged_sources(lists, "row_id", "ids").first().ids == ["a", "b"]
-    assert st.latest_per_key(rows, ["row_id"], ["o"]).first().chunk_id == "c3"
     assert rows.where(F.col("a").isNull()).count() == 1

@@ -1,4 +1,4 @@
-"""Queries over all rows, those with 'İ' and nulls too, which the ones compared with DuckDB leave out."""
+"""Queries read all rows, those with 'İ' and nulls too."""
 
 from textrel import queries_ops as q
 
@@ -13,9 +13,9 @@ def test_no_row_is_left_out(spark, tmp_path):
     put("extraction_result", [(1, "c", "owner", [{"name": "İbrahim Deltegül"}]), (2, "c", "owner", [{"name": "Nobody"}])], "result_id bigint, chunk_id string, table_name string, records array<map<string,string>>")
     put("raw_chunks", [("c", "Owner İbrahim Deltegül paid.")], "chunk_id string, content string")
     rows = lambda f: sorted(map(tuple, f(spark, str(tmp_path)).collect()), key=str)
-    assert [r[0] for r in rows(q.text_normalized_whole)] == [1, 2, 3]
-    assert rows(q.align_apply_whole) == [(1, "Bay Gulls"), (2, None), (3, "İzmir Jets")]
-    assert len(rows(q.align_exact_whole)) == 2
-    assert {r[1]: r[2] for r in rows(q.upsert_known_only_whole)} == {"İbrahim Deltegül": 50}
-    assert {r[1]: r[2] for r in rows(q.upsert_coalesce_whole)} == {"İbrahim Deltegül": 50, "İnci": 40}
-    assert [(r[0], r[2]) for r in rows(q.grounded_values_whole)] == [(1, True), (2, False)]
+    assert [r[0] for r in rows(q.text_normalized)] == [1, 2, 3]
+    assert rows(q.align_apply) == [(1, "Bay Gulls"), (2, None), (3, "İzmir Jets")]
+    assert len(rows(q.align_exact)) == 2
+    assert {r[1]: r[2] for r in rows(q.upsert_known_only)} == {"İbrahim Deltegül": 50}
+    assert {r[1]: r[2] for r in rows(q.upsert_coalesce)} == {"İbrahim Deltegül": 50, "İnci": 40}
+    assert [(r[0], r[2]) for r in rows(q.grounded_values)] == [(1, True), (2, False)]

@@ -24,6 +24,11 @@ def missing_to_null(c: Column) -> Column:
     return F.when(~is_missing(c), c)
 
 
+def folded(c: Column) -> Column:
+    """Lower case with the dotted capital I as a plain i, which engines lower differently."""
+    return F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
+
+
 def match_key(c: Column) -> Column:
     """Key under which names are equal: trimmed, blanks collapsed, lower case."""
     return F.lower(squeezed(c))
@@ -31,12 +36,12 @@ def match_key(c: Column) -> Column:
 
 def normalized(c: Column) -> Column:
     """Lower case, everything but letters, digits, underscore and blanks turned into blanks, blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(c), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def normalized_for_match(c: Column) -> Column:
     """Lower case, commas dropped, blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), ",", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(folded(c), ",", ""), r"\s+", " "))
 
 
 def number_or_null(c: Column) -> Column:

@@ -93,10 +93,22 @@ def chunk_id(doc: Column, index: Column) -> Column:
     return F.sha2(F.concat_ws("|", doc.cast("string"), index.cast("string")), 256)
 
 
+#: Chunk numbers that are looked at together for the chunk before each of them.
+LEAD_SPAN = 1024
+
+
 def with_lead(chunks: DataFrame, doc: str, index: str, content: str, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Each chunk with the last ``overlap`` characters of the chunk before in its document in front: adds lead."""
-    before = F.lag(content).over(Window.partitionBy(doc).orderBy(index))
-    return chunks.withColumn("lead", F.coalesce(F.right(before, F.lit(overlap)), F.lit("")))
+    """Each chunk with the last ``overlap`` characters of the chunk before in its document (whatever gap lies between): adds lead.
+
+    A document is taken in spans of LEAD_SPAN chunk numbers; the last tail of each span is handed to the next one that has
+    chunks. Only tails are sorted, and a document with a third of all chunks is many spans. The first chunk has an empty lead.
+    """
+    span = F.floor(F.col(index) / F.lit(LEAD_SPAN))
+    rows = chunks.withColumn("_span", span).withColumn("_tail", F.right(F.coalesce(content, F.lit("")), F.lit(overlap)))
+    last = rows.groupBy(doc, "_span").agg(F.max_by("_tail", index).alias("_last"))
+    handed = last.select(doc, "_span", F.lag("_last").over(Window.partitionBy(doc).orderBy("_span")).alias("_handed"))
+    within = F.lag("_tail").over(Window.partitionBy(doc, "_span").orderBy(index))
+    return rows.join(handed, [doc, "_span"], "left").withColumn("lead", F.coalesce(within, "_handed", F.lit(""))).select(*chunks.columns, "lead")
 
 
 def new_chunks(existing: DataFrame, arriving: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index")) -> DataFrame:

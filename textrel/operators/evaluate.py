@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textrel.functions.similarity import canonical_name, f1, relative_error
+from textrel.operators.skew import numbered, salted_join
 
 
 def paired_rows(gold: DataFrame, found: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -13,13 +14,12 @@ def paired_rows(gold: DataFrame, found: DataFrame, keys: list[str], order: str)
 
     Each row is in one pair at most; a key with m and n rows gives min(m, n) pairs. Null keys pair with none.
     """
-    window = Window.partitionBy(*keys).orderBy(order)
 
-    def numbered(df: DataFrame, side: str) -> DataFrame:
+    def placed(df: DataFrame, side: str) -> DataFrame:
         rest = [c for c in df.columns if c not in keys]
-        return df.withColumn("pair_no", F.row_number().over(window)).select(*keys, "pair_no", *[F.col(c).alias(f"{side}_{c}") for c in rest])
+        return numbered(df, keys, [order], "pair_no").select(*keys, "pair_no", *[F.col(c).alias(f"{side}_{c}") for c in rest])
 
-    return numbered(gold, "gold").join(numbered(found, "found"), [*keys, "pair_no"])
+    return placed(gold, "gold").join(placed(found, "found"), [*keys, "pair_no"])
 
 
 def number_score(gold: Column, found: Column, tolerance: float = 0.0) -> Column:
@@ -40,18 +40,20 @@ def string_score(gold: Column, found: Column) -> Column:
     return F.when(both | (plain(gold) == plain(found)), 1.0).otherwise(0.0)
 
 
-def shared_values(gold: Column, found: Column) -> Column:
-    """Number of values two lists share, repeated values as often as both have them."""
-    return F.aggregate(F.array_distinct(gold), F.lit(0), lambda n, v: n + F.least(F.size(F.filter(gold, lambda x: x == v)), F.size(F.filter(found, lambda x: x == v))))
+def list_scores(gold: DataFrame, found: DataFrame, keys: list[str], value: str, both_empty: float = 0.0) -> DataFrame:
+    """Precision and recall of list cells given as rows (keys, value): keys, precision, recall; repeated values count as often as
+    both sides have them.
 
-
-def list_scores(gold: Column, found: Column, both_empty: float = 0.0) -> Column:
-    """struct(precision, recall) of a list cell; two empty lists score ``both_empty``."""
-    shared = shared_values(gold, found)
-    empty = (F.size(gold) == 0) & (F.size(found) == 0)
-    p = F.when(empty, F.lit(both_empty)).when(F.size(found) > 0, shared / F.size(found)).otherwise(0.0)
-    r = F.when(empty, F.lit(both_empty)).when(F.size(gold) > 0, shared / F.size(gold)).otherwise(0.0)
-    return F.struct(p.alias("precision"), r.alias("recall"))
+    Values are counted per (key, value) on each side first, so a key of many values is never gathered. A null value stands for
+    the empty list of its key; a key whose lists are empty on both sides scores ``both_empty``. Keys of one side only score 0.
+    """
+    real = F.col(value).isNotNull().cast("int")
+    sides = gold.select(*keys, value, real.alias("_a"), F.lit(0).alias("_b")).unionByName(found.select(*keys, value, F.lit(0).alias("_a"), real.alias("_b")))
+    counts = sides.groupBy(*keys, value).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    sums = counts.groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.sum(F.least("_a", "_b")).alias("_s"))
+    empty = (F.col("_a") == 0) & (F.col("_b") == 0)
+    score = lambda n: F.when(empty, F.lit(both_empty)).when(n > 0, F.col("_s") / n).otherwise(0.0)
+    return sums.select(*keys, score(F.col("_b")).alias("precision"), score(F.col("_a")).alias("recall"))
 
 
 def column_metrics(pairs: DataFrame, scores: dict[str, Column], n_gold: int | Column, n_found: int | Column) -> DataFrame:
@@ -77,15 +79,43 @@ def mean_error(errors: DataFrame) -> DataFrame:
 
 
 def name_matches(gold: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """Found names matched to gold names in levels: 1 equal, 2 equal in lower case, 3 equal as canonical names, 4 the same words
-    in any order, 5 first and last word. Each found name takes its lowest level, then the alphabetically first gold name."""
-    def levels(df: DataFrame, side: str) -> DataFrame:
-        d = df.select(F.col(name).alias(side)).where(F.trim(name) != "").distinct()
-        c = canonical_name(F.col(side))
-        words = F.split(c, " ")
-        keys = [F.col(side), F.lower(F.trim(side)), c, F.array_join(F.array_sort(words), " "), F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, -1))]
-        return d.select(side, F.posexplode(F.array(*keys)).alias("level", "key")).where("key <> ''")
+    """Found names matched to gold names in levels: 1 the same (trimmed), 2 equal as canonical names, 3 the same first and last word,
+    4 the same last word and another shared word, 5 two shared words, 6 the same last word and a word that begins with the first.
 
-    met = levels(found, "found").join(levels(gold, "gold"), ["level", "key"])
-    best = met.groupBy("found").agg(F.min(F.struct("level", "gold")).alias("_b"))
-    return best.select("found", F.col("_b.gold").alias("gold"), (F.col("_b.level") + 1).alias("level"))
+    Each distinct found name takes its lowest level, and of several gold names the one that shares most words, then the
+    alphabetically first: found, gold, level. Names that match none have no row. Levels 4 to 6 meet on pairs of words, or the
+    last word with each beginning of a word, so no common word brings all its names together.
+    """
+
+    def described(df: DataFrame, side: str) -> DataFrame:
+        d = df.select(F.trim(name).alias(side)).where(F.col(side) != "").distinct()
+        c = canonical_name(F.col(side))
+        d = d.withColumn("_c", c).withColumn("_l", F.split("_c", " "))
+        return d.withColumn("_w", F.array_sort(F.array_distinct(F.filter("_l", lambda w: w != "")))).withColumn("_z", F.element_at("_l", -1))
+
+    g, f = described(gold, "gold"), described(found, "found")
+    end = lambda n: F.concat_ws(" ", F.lit(n), F.element_at("_l", 1), "_z")
+    two = F.size("_w") >= 2
+    pairs = F.flatten(F.transform("_w", lambda x: F.transform(F.filter("_w", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    none = F.array().cast("array<string>")
+    last_pair = F.when(two, F.transform(F.filter(pairs, lambda p: (p.x == F.col("_z")) | (p.y == F.col("_z"))), lambda p: F.concat_ws(" ", F.lit("4"), "_z", p.x, p.y))).otherwise(none)
+    any_pair = F.when(two, F.transform(pairs, lambda p: F.concat_ws(" ", F.lit("5"), p.x, p.y))).otherwise(none)
+
+    def keys(df: DataFrame, side: str, last) -> DataFrame:
+        base = F.array(F.concat(F.lit("1 "), F.col(side)), F.when(F.col("_c") != "", F.concat(F.lit("2 "), F.col("_c"))), F.when(two, end("3")))
+        all_keys = F.filter(F.concat(base, last_pair, any_pair, last), lambda k: k.isNotNull())
+        return df.select(side, "_w", F.explode(F.array_distinct(all_keys)).alias("key"))
+
+    begins = F.flatten(F.transform("_w", lambda w: F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(w))), lambda n: F.concat_ws(" ", F.lit("6"), "_z", F.substring(w, F.lit(1), n)))))
+    first = F.when(two & (F.length(F.element_at("_l", 1)) >= 2), F.array(F.concat_ws(" ", F.lit("6"), "_z", F.element_at("_l", 1)))).otherwise(none)
+    met = keys(f, "found", first).withColumnRenamed("_w", "_fw").join(keys(g, "gold", F.when(two, begins).otherwise(none)), "key")
+    level = F.substring("key", 1, 1).cast("int")
+    best = met.groupBy("found").agg(F.min(F.struct(level.alias("level"), (-F.size(F.array_intersect("_fw", "_w"))).alias("_s"), "gold")).alias("_b"))
+    return best.select("found", F.col("_b.gold").alias("gold"), F.col("_b.level").alias("level"))
+
+
+def rewritten_keys(gold: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """The rows of ``found`` with the column ``name`` rewritten to the gold spelling that name_matches gives; others stay as they are."""
+    best = name_matches(gold, found, name).where("level > 1").select(F.col("found").alias("_name"), F.col("gold").alias("_gold"))
+    keyed = found.withColumn("_name", F.trim(name))
+    return salted_join(keyed, best, ["_name"], found.columns, "left").withColumn(name, F.coalesce("_gold", name)).select(*found.columns)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textrel.functions.similarity import dot, edit_ratio, norm, vector
-from textrel.functions.text import normalized
+from textrel.functions.similarity import edit_ratio
+from textrel.functions.text import folded, normalized
 from textrel.operators.components import components
 from textrel.operators.skew import salted_join
 
@@ -21,21 +25,35 @@ def alignment_map(left: DataFrame, left_key: str, right: DataFrame, right_key: s
     """
     sides = left.select(F.col(left_key).alias("variant"), F.lit(False).alias("is_right")).unionByName(right.select(F.col(right_key).alias("variant"), F.lit(True).alias("is_right")))
     spellings = sides.where(F.col("variant").isNotNull()).distinct().withColumn("_n", normalized(F.col("variant"))).where("_n <> ''")
-    order = F.struct(F.length(F.trim("variant")), F.lower("variant"), F.col("variant"))
+    order = F.struct(F.length(F.trim("variant")), folded(F.col("variant")), F.col("variant"))
     chosen = spellings.groupBy("_n").agg(F.min_by("variant", F.when(F.col("is_right"), order)).alias("canonical"), F.count_distinct("is_right").alias("_s")).where("_s = 2")
     return spellings.select("_n", "variant").distinct().join(chosen, "_n").where("variant <> canonical").select("variant", "canonical")
 
 
+def similar_alignment_map(left: DataFrame, left_key: str, right: DataFrame, right_key: str, threshold: float = MATCH_SIMILARITY) -> DataFrame:
+    """(variant, canonical) for keys of the left side that alignment_map leaves without a partner: the most similar right key whose
+    normalized form has an edit ratio of at least ``threshold``, ties by name. Right keys are never rewritten, so keys that agreed
+    before still do."""
+    mine = left.select(F.col(left_key).alias("variant")).where(F.col("variant").isNotNull()).distinct().withColumn("_n", normalized(F.col("variant"))).where("_n <> ''")
+    theirs = right.select(F.col(right_key).alias("canonical")).where(F.col("canonical").isNotNull()).distinct().withColumn("_m", normalized(F.col("canonical"))).where("_m <> ''")
+    order = F.struct(F.length(F.trim("canonical")), folded(F.col("canonical")), F.col("canonical"))
+    theirs = theirs.groupBy("_m").agg(F.min_by("canonical", order).alias("canonical"))
+    left_over = mine.join(theirs.select(F.col("_m").alias("_n")), "_n", "left_anti")
+    words = left_over.select(F.col("_n").alias("v")).unionByName(theirs.select(F.col("_m").alias("v")))
+    pairs = similar_pairs(words, "v", threshold)
+    both = pairs.select(F.col("a").alias("_n"), F.col("b").alias("_m"), "ratio").unionByName(pairs.select(F.col("b").alias("_n"), F.col("a").alias("_m"), "ratio"))
+    best = both.join(theirs, "_m").groupBy("_n").agg(F.min_by("canonical", F.struct(-F.col("ratio"), folded(F.col("canonical")), F.col("canonical"))).alias("canonical"))
+    return left_over.join(best, "_n").select("variant", "canonical")
+
+
 def apply_map(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """The rows with ``column`` rewritten by (variant, canonical); other values stay. Hot values are spread."""
     named = mapping.select(F.col("variant").alias(column), F.col("canonical").alias("_canonical"))
     return salted_join(df, named, [column], df.columns, "left").withColumn(column, F.coalesce("_canonical", column)).select(*df.columns)
 
 
-def grams(text: Column, n: int = 3) -> Column:
-    """Distinct character n-grams of a padded text."""
-    padded = F.concat(F.lit(" " * (n - 1)), F.lower(text), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n))))
+#: A part of words that more than this many words have is spread over SALTS tasks.
+CROWDED_PART, SALTS = 5_000, 32
 
 
 def similar_pairs(mentions: DataFrame, column: str, threshold: float = MATCH_SIMILARITY, block: int = 3) -> DataFrame:
@@ -43,8 +61,9 @@ def similar_pairs(mentions: DataFrame, column: str, threshold: float = MATCH_SIM
 
     Every pair within the threshold is found: with d edits allowed, a string of n characters is cut into d + 1 parts, of
     which a similar string has one unchanged, moved by at most d places; pairs meet on such parts, by length. Distinct
-    mentions only, so copies are no work. Short parts are common; ``block`` is the least length of a mention that takes
-    part (shorter mentions match when equal only, which gives no pair).
+    mentions only, so copies are no work; ``block`` is the least length of a mention that takes part (shorter mentions match
+    when equal only, which gives no pair). A part that many words share at the same place is salted: its words are split
+    over SALTS tasks, and each of them is compared with the longer words once.
     """
     words = mentions.select(F.col(column).alias("v")).where(F.length(column) >= block).distinct().withColumn("n", F.length("v"))
     edits = lambda n: F.floor(n * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
@@ -61,8 +80,31 @@ def similar_pairs(mentions: DataFrame, column: str, threshold: float = MATCH_SIM
     first = F.greatest(F.lit(0), F.col("at") - F.col("d"))
     last = F.least(F.col("at") + F.col("d"), F.col("k") - F.col("len"))
     spots = spots.where(last >= first).select("short", F.col("m").alias("n"), "i", F.explode(F.expr("transform(sequence(greatest(0, at - d), least(at + d, k - len)), x -> substring(short, x + 1, len))")).alias("s")).distinct()
-    met = parts.join(spots, ["n", "i", "s"]).where("long <> short").select(F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b")).distinct()
-    return met.withColumn("ratio", edit_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= threshold)
+    at = ["n", "i", "s"]
+    crowded = spots.groupBy(*at).count().where(F.col("count") > CROWDED_PART).select(*at, F.lit(SALTS).alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    spots = spots.join(crowded, at, "left").withColumn("_salt", F.pmod(F.xxhash64("short"), salts).cast("int")).drop("_salts")
+    parts = parts.join(crowded, at, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    met = parts.join(spots, [*at, "_salt"]).where("long <> short").select(F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b"))
+    return met.withColumn("ratio", edit_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") >= threshold).distinct()
+
+
+def resolved_by_type(mentions: DataFrame, threshold: float = MATCH_SIMILARITY) -> DataFrame:
+    """Mentions of all tables resolved per semantic type, so that types never mix: semantic_type, key (trimmed, lower case), canonical
+    (the longest similar mention, then the alphabetically last). ``mentions`` has semantic_type and value. Types are few; each is
+    resolved over all its tables at once, and mentions without a similar one stand for themselves."""
+    tagged = mentions.where(F.trim("value") != "").select("semantic_type", F.lower(F.trim("value")).alias("value")).distinct()
+    mark = F.concat_ws("\u0001", "semantic_type", "value")
+    out = None
+    for t in sorted(r[0] for r in tagged.select("semantic_type").distinct().collect() if r[0] is not None):  # the types of a schema
+        pairs = similar_pairs(tagged.where(F.col("semantic_type") == t), "value", threshold)
+        one = pairs.select(F.concat_ws("\u0001", F.lit(t), "a").alias("a"), F.concat_ws("\u0001", F.lit(t), "b").alias("b"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return tagged.select("semantic_type", F.col("value").alias("key"), F.col("value").alias("canonical"))
+    forms = canonical_forms(cluster_labels(out)).select("mention", "canonical")
+    named = tagged.withColumn("mention", mark).join(forms, "mention", "left")
+    return named.select("semantic_type", F.col("value").alias("key"), F.coalesce(F.substring_index("canonical", "\u0001", -1), "value").alias("canonical"))
 
 
 def cluster_labels(pairs: DataFrame) -> DataFrame:
@@ -88,23 +130,64 @@ def mentions_of(rows: DataFrame, row: str, columns: dict[str, str]) -> DataFrame
     return long.select(row, "column_name", F.element_at(types, F.col("column_name")).alias("semantic_type"), "value")
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "vec_id", vector_id: str = "vec_id", column: str = "embedding", block: int = 512, parts: int = 64) -> DataFrame:
+#: Vectors of one matrix of the queries and of one matrix of all vectors.
+QUERY_ROWS, VECTOR_ROWS = 512, 4096
+
+
+def _matrices(df: DataFrame, key: str, column: str, rows: int) -> DataFrame:
+    """Vectors of unit length gathered to matrices of up to ``rows``: ids, dim, data (doubles, row by row). Zero vectors and nulls are
+    left out. A matrix is filled within a partition, so nothing is shuffled."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: dict[int, list] = {}
+        held: dict[int, list] = {}
+
+        def packed(d: int) -> pd.DataFrame:
+            out = pd.DataFrame({"ids": [ids.pop(d)], "dim": [d], "data": [np.array(held.pop(d)).tobytes()]})
+            return out
+
+        for b in batches:
+            for i, v in zip(b["_id"], b["_v"]):
+                a = np.asarray(v, dtype=np.float64)
+                length = float(np.sqrt((a * a).sum())) if len(a) else 0.0
+                if not length > 0 or not np.isfinite(length):
+                    continue
+                ids.setdefault(len(a), []).append(i)
+                held.setdefault(len(a), []).append(a / length)
+                if len(ids[len(a)]) == rows:
+                    yield packed(len(a))
+        for d in list(ids):
+            yield packed(d)
+
+    some = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(column).cast("array<double>").alias("_v"))
+    return some.mapInPandas(gather, "ids array<long>, dim int, data binary")
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "vec_id", vector_id: str = "vec_id", column: str = "embedding", parts: int = 64) -> DataFrame:
     """The k vectors of highest cosine to each query, other than itself: query_id, vec_id, cosine, rank. Ties by vec_id.
 
-    Exact: the queries are gathered to blocks of about ``block``, and each part of the vectors meets each block; a part's
-    result is cut to its k best per query before the final ranking. Zero vectors and nulls have no neighbours.
+    Exact: both sides become matrices; the queries' are copied to ``parts`` groups, each matrix of all vectors goes to one
+    group, and their product gives the k best of each query per pair of matrices, which are cut to k before and after the
+    final shuffle. Vectors are moved once, queries ``parts`` times. Zero vectors, nulls and vectors of another length than
+    the query's have no part in it.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), vector(F.col(column)).alias("_q")).withColumn("_qn", norm(F.col("_q"))).where("_qn > 0")
-    blocks = max(1, -(-q.count() // block))
-    packed = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("query_id", "_q", "_qn")).alias("_qs"))
-    packed = packed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-    v = vectors.select(F.col(vector_id).alias("vec_id"), vector(F.col(column)).alias("_v")).withColumn("_vn", norm(F.col("_v"))).where("_vn > 0")
-    v = v.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    scored = v.join(packed, ["_block", "_part"]).select("_part", "vec_id", "_v", "_vn", F.explode("_qs").alias("_e")).where(F.col("_e.query_id") != F.col("vec_id"))
-    scored = scored.select("_part", "vec_id", F.col("_e.query_id").alias("query_id"), (dot(F.col("_v"), F.col("_e._q")) / (F.col("_vn") * F.col("_e._qn"))).alias("cosine"))
+    q = _matrices(queries, query_id, column, QUERY_ROWS).select(F.col("ids").alias("q_ids"), F.col("dim").alias("dim"), F.col("data").alias("q_data"))
+    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    v = _matrices(vectors, vector_id, column, VECTOR_ROWS).withColumn("_part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, dim, data, q_ids, q_data in b[["ids", "dim", "data", "q_ids", "q_data"]].itertuples(index=False):
+                ids, q_ids = np.asarray(ids), np.asarray(q_ids)
+                scores = np.frombuffer(q_data).reshape(-1, dim) @ np.frombuffer(data).reshape(-1, dim).T
+                scores[q_ids[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q_ids), -np.inf)
+                rows, cols = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))  # ties at the border stay for the ranking
+                yield pd.DataFrame({"query_id": q_ids[rows], "vec_id": ids[cols], "cosine": scores[rows, cols]})
+
+    scored = v.join(q.hint("shuffle_hash"), ["dim", "_part"]).mapInPandas(product, "query_id long, vec_id long, cosine double")
     order = [F.desc("cosine"), F.col("vec_id")]
-    some = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_r") <= k)
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "vec_id", "cosine", "rank")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "vec_id", "cosine", "rank")
 
 
 def augment_keys(documents: DataFrame, key: str, queries: DataFrame, query_key: str, threshold: float = JOIN_SIMILARITY, k: int = 3) -> DataFrame:

@@ -5,10 +5,11 @@ Tables are immutable DataFrames; each function returns the next version of its i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textrel.functions.text import folded
 from textrel.operators.skew import salted_join
 
 SYSTEM_COLUMNS = ("row_id", "created_at")
@@ -53,7 +54,7 @@ def upsert_by_entity(table: DataFrame, arriving: DataFrame, entity: str, known_o
     (default: the order of the values themselves) wins. Rows of the table without a key stay as they are; arriving ones
     without a key are dropped.
     """
-    key = F.lower(F.trim(F.col(entity)))
+    key = folded(F.trim(F.col(entity)))
     values = [c for c in table.columns if c != entity and c in arriving.columns]
     merged = first_values(arriving.where(key.isNotNull() & (key != "")).withColumn("_key", key), ["_key"], [entity, *values], order)
     merged = merged.select("_key", *[F.col(c).alias(f"_new_{c}") for c in (entity, *values)])
@@ -117,15 +118,18 @@ def lineage(provenance: DataFrame, chunks: DataFrame, table_name: str | None = N
 
 
 def apply_registry(registry: DataFrame, changes: DataFrame) -> DataFrame:
-    """Registry rows merged by (table_name, column_name): predicate scopes are united, FULL is never lowered to PARTIAL, the latest
+    """Registry rows merged by (table_name, column_name): predicate scopes are made distinct, then united, FULL is never lowered to PARTIAL, the latest
     time and its record count stay. Both have table_name, column_name, predicate_scope, status, last_updated, record_count."""
     both = registry.unionByName(changes)
-    return both.groupBy("table_name", "column_name").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("predicate_scope")))).alias("predicate_scope"),
+    column = ["table_name", "column_name"]
+    scopes = both.select(*column, F.explode("predicate_scope").alias("_p")).distinct().groupBy(*column).agg(F.array_sort(F.collect_list("_p")).alias("predicate_scope"))
+    merged = both.groupBy(*column).agg(
         F.when(F.max((F.col("status") == "FULL").cast("int")) == 1, "FULL").otherwise("PARTIAL").alias("status"),
         F.max("last_updated").alias("last_updated"),
         F.max_by("record_count", F.struct("last_updated", "record_count")).alias("record_count"),
     )
+    empty = F.array().cast("array<string>")
+    return merged.join(scopes, column, "left").select(*column, F.coalesce("predicate_scope", empty).alias("predicate_scope"), "status", "last_updated", "record_count")
 
 
 def new_candidates(existing: DataFrame, arriving: DataFrame) -> DataFrame:
@@ -134,20 +138,30 @@ def new_candidates(existing: DataFrame, arriving: DataFrame) -> DataFrame:
     return best.join(existing.select("table_name", "chunk_id").distinct(), ["table_name", "chunk_id"], "left_anti")
 
 
+def ordered_candidates(candidates: DataFrame, table_name: str) -> DataFrame:
+    """The candidates of a table, the most relevant first, ties by chunk id."""
+    return candidates.where(F.col("table_name") == table_name).select("chunk_id", "relevance_score").orderBy(F.desc_nulls_last("relevance_score"), "chunk_id")
+
+
 def not_cached(chunks: DataFrame, cache: DataFrame, table_name: str) -> DataFrame:
     """The chunks whose extraction for a table is not in the cache yet, by md5 of chunk and table: adds cache_key."""
     keyed = chunks.withColumn("cache_key", F.md5(F.concat_ws(":", F.col("chunk_id").cast("string"), F.lit(table_name))))
     return keyed.join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
-def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+def call_counters(calls: DataFrame, operation: str, tokens: Column) -> DataFrame:
+    """Calls and tokens per operation: operation, calls, tokens."""
+    return calls.groupBy(F.col(operation).alias("operation")).agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"))
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in ``order``."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-    return df.withColumn("_r", rank).where("_r = 1").drop("_r")
+def frequent_fields(records: DataFrame, column: str, most: int = 20) -> DataFrame:
+    """The fields that most map records hold with a value: field_name, n_records, the ``most`` most frequent, ties by name."""
+    each = records.select(F.explode(column).alias("field_name", "_v")).where(F.trim("_v") != "")
+    return each.groupBy("field_name").agg(F.count("*").alias("n_records")).orderBy(F.desc("n_records"), "field_name").limit(most)
+
+
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
 def snapshot_state(registry: DataFrame, candidates: DataFrame, index: DataFrame) -> DataFrame:

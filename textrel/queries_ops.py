@@ -22,7 +22,8 @@ from textrel.session import table
 from textrel.streaming.ingest import windowed_counts
 
 KEYWORDS = ["points", "stake", "arena", "overall pick", "percent"]
-_NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_LOW = "lower(replace({0}, 'İ', 'i'))"
+_NORM = "trim(regexp_replace(regexp_replace(lower(replace({0}, 'İ', 'i')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 _MISSING = "('', 'n/a', 'none', 'null', 'unknown')"
 
@@ -102,15 +103,8 @@ def record_predicates(spark, folder):
 # Functions
 
 
-@query(f"SELECT id, {_NORM.format('college')} AS norm, trim(regexp_replace(replace(lower(college), ',', ''), '\\s+', ' ', 'g')) AS match_norm FROM player WHERE college NOT LIKE '%İ%'")
+@query(f"SELECT id, {_NORM.format('college')} AS norm, trim(regexp_replace(replace({_LOW.format('college')}, ',', ''), '\\s+', ' ', 'g')) AS match_norm FROM player")
 def text_normalized(spark, folder):
-    rows = table(spark, folder, "player").where(~F.contains("college", F.lit("İ")))
-    return rows.select("id", tx.normalized(F.col("college")).alias("norm"), tx.normalized_for_match(F.col("college")).alias("match_norm"))
-
-
-@query()
-def text_normalized_whole(spark, folder):
-    """text_normalized of all rows, with 'İ', which DuckDB lowers otherwise, and nulls."""
     return table(spark, folder, "player").select("id", tx.normalized(F.col("college")).alias("norm"), tx.normalized_for_match(F.col("college")).alias("match_norm"))
 
 
@@ -164,10 +158,9 @@ def canonical_names(spark, folder):
 
 @query()
 def lexical_ratio(spark, folder):
-    """Matching-block ratio of each player's team to the name of the team it is (all rows with an exact partner)."""
-    p, t = table(spark, folder, "player"), table(spark, folder, "team")
-    pairs = p.join(t, tx.match_key(p["team"]) == tx.match_key(t["team_name"])).select(p["id"].alias("player_id"), t["id"].alias("team_id"), "team", "team_name")
-    return pairs.select("player_id", "team_id", sim.gestalt_ratio("team", "team_name").alias("ratio"), sim.edit_ratio(F.col("team"), F.col("team_name")).alias("edit_ratio"))
+    """Edit ratio and matching-block ratio of all similar but different spellings of owners (brute force checks both in the tests)."""
+    names = table(spark, folder, "owner").select(F.lower(F.trim("name")).alias("name"))
+    return rs.similar_pairs(names, "name", 0.85).select("a", "b", F.col("ratio").alias("edit_ratio"), sim.gestalt_ratio("a", "b").alias("ratio"))
 
 
 # Store
@@ -178,16 +171,15 @@ def first_value_merge(spark, folder):
     return st.first_values(table(spark, folder, "events"), ["user_id"], ["event_type", "value"], "event_id")
 
 
-_MERGED = """WITH o AS (SELECT *, lower(trim(name)) AS k FROM owner WHERE name NOT LIKE '%İ%' AND lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) NOT IN ('', 'n/a', 'none', 'null', 'unknown')),
+_MERGED = """WITH o AS (SELECT *, lower(replace(trim(name), 'İ', 'i')) AS k FROM owner WHERE name IS NOT NULL AND lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) NOT IN ('', 'n/a', 'none', 'null', 'unknown')),
 old AS (SELECT id, k, name, age, nationality FROM o WHERE ingested_at < TIMESTAMPTZ '2025-01-01 00:00:00+00'),
 neu AS (SELECT k, first(name ORDER BY id, name) AS name, first(age ORDER BY id, age) FILTER (WHERE age IS NOT NULL) AS age, first(nationality ORDER BY id, nationality) FILTER (WHERE nationality IS NOT NULL) AS nationality
   FROM o WHERE ingested_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00' GROUP BY k)
 SELECT old.id, old.name, coalesce(old.age, neu.age) AS age, coalesce(old.nationality, neu.nationality) AS nationality FROM old LEFT JOIN neu USING (k)"""
 
 
-def _upsert(spark, folder, known_only, whole=False):
+def _upsert(spark, folder, known_only):
     rows = table(spark, folder, "owner").where(~tx.is_missing(F.col("name")))
-    rows = rows if whole else rows.where(~F.contains("name", F.lit("İ")))
     cut = F.lit("2025-01-01 00:00:00").cast("timestamp")
     old = rows.where(F.col("ingested_at") < cut).select("id", "name", "age", "nationality")
     new = rows.where(F.col("ingested_at") >= cut).select(F.col("id").alias("seen"), "name", "age", "nationality")
@@ -204,27 +196,15 @@ def upsert_known_only(spark, folder):
     return _upsert(spark, folder, True)
 
 
-@query()
-def upsert_coalesce_whole(spark, folder):
-    """upsert_coalesce of all owners with a name, with 'İ' too."""
-    return _upsert(spark, folder, False, whole=True)
-
-
-@query()
-def upsert_known_only_whole(spark, folder):
-    """upsert_known_only of all owners with a name, with 'İ' too."""
-    return _upsert(spark, folder, True, whole=True)
-
-
 @query("""WITH v AS (SELECT user_id, event_type AS v, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2), w AS (SELECT user_id, first(v ORDER BY n DESC, f, v) AS event_type FROM v GROUP BY 1)
 SELECT user_id, event_type, n_rows FROM w JOIN (SELECT user_id, count(*) AS n_rows FROM events GROUP BY 1) USING (user_id)""")
 def frequent_value_merge(spark, folder):
     return st.consolidate(table(spark, folder, "events"), "user_id", ["event_type"], "event_id")
 
 
-@query("SELECT table_name, list_sort(list_distinct(list_filter(flatten(list(chunk_ids)), lambda x: x IS NOT NULL AND trim(x) <> ''))) AS chunk_ids FROM row_provenance GROUP BY table_name")
+@query("SELECT row_id, list_sort(list_distinct(list_filter(flatten(list(chunk_ids)), lambda x: x IS NOT NULL AND trim(x) <> ''))) AS chunk_ids FROM row_provenance GROUP BY row_id HAVING len(chunk_ids) > 0")
 def provenance_merge(spark, folder):
-    return st.merged_sources(table(spark, folder, "row_provenance"), "table_name", "chunk_ids")
+    return st.merged_sources(table(spark, folder, "row_provenance"), "row_id", "chunk_ids")
 
 
 @query("SELECT DISTINCT p.row_id, p.table_name, p.chunk_id, c.doc_id FROM (SELECT row_id, table_name, unnest(chunk_ids) AS chunk_id FROM row_provenance WHERE table_name = 'player') p LEFT JOIN raw_chunks c ON c.chunk_id = p.chunk_id WHERE trim(p.chunk_id) <> ''")
@@ -289,7 +269,22 @@ def record_insert_typed(spark, folder):
     return st.records_to_rows(r, "r", {"name": "string", "team": "string", "draft_year": "bigint"}, keep=("result_id",))
 
 
-@query()
+@query("SELECT f AS field_name, count(*) AS n_records FROM (SELECT unnest(map_entries(r)) AS e FROM (SELECT unnest(records) AS r FROM extraction_result) WHERE r IS NOT NULL) t(e), LATERAL (SELECT e.key AS f, e.value AS v) WHERE trim(v) <> '' GROUP BY 1 ORDER BY n_records DESC, field_name LIMIT 20")
+def frequent_fields(spark, folder):
+    """The 20 most frequent fields of all records."""
+    r = table(spark, folder, "extraction_result").select(F.explode("records").alias("r")).where("r IS NOT NULL")
+    return st.frequent_fields(r, "r")
+
+
+@query("SELECT chunk_id, CAST(max(extraction_time) AS DOUBLE) AS relevance_score FROM extraction_result WHERE table_name = 'player' GROUP BY chunk_id ORDER BY relevance_score DESC NULLS LAST, chunk_id")
+def candidates_ordered(spark, folder):
+    c = table(spark, folder, "extraction_result").groupBy("table_name", "chunk_id").agg(F.max("extraction_time").alias("relevance_score"))
+    return st.ordered_candidates(c, "player")
+
+
+@query("""WITH f AS (SELECT bool_and(ok) AS all_full FROM (SELECT table_name, k, bool_or(error IS NULL) AS ok FROM (SELECT table_name, unnest(schema_keys) AS k, error FROM extraction_result) GROUP BY 1, 2)),
+n AS (SELECT (SELECT count(DISTINCT chunk_id) FROM extraction_result) AS n_candidates, (SELECT count(DISTINCT chunk_id) FROM raw_chunks) AS n_indexed, (SELECT count(DISTINCT chunk_id) FROM raw_chunks WHERE chunk_id IN (SELECT chunk_id FROM extraction_result WHERE chunk_id IS NOT NULL)) AS n_shared)
+SELECT CAST(all_full AS INTEGER) AS all_full, n_candidates, n_indexed, n_shared, all_full AND n_candidates > 0 AND n_shared > 0 AS ready FROM f, n""")
 def snapshot_state(spark, folder):
     r = table(spark, folder, "extraction_result")
     return st.snapshot_state(_registry(spark, folder), r.select("chunk_id"), table(spark, folder, "raw_chunks").select("chunk_id"))
@@ -340,15 +335,13 @@ def schema_key_frequencies(spark, folder):
 # Resolution
 
 
-_ALIGN = f"""WITH s AS (SELECT DISTINCT team AS v, false AS r FROM player WHERE team IS NOT NULL AND team NOT LIKE '%İ%' UNION SELECT DISTINCT team_name, true FROM team WHERE team_name IS NOT NULL AND team_name NOT LIKE '%İ%'),
-n AS (SELECT v, r, {_NORM.format('v')} AS n FROM s), c AS (SELECT n, first(v ORDER BY length(trim(v)), lower(v), v) FILTER (WHERE r) AS canonical FROM n WHERE n <> '' GROUP BY n HAVING count(DISTINCT r) = 2)
+_ALIGN = f"""WITH s AS (SELECT DISTINCT team AS v, false AS r FROM player WHERE team IS NOT NULL UNION SELECT DISTINCT team_name, true FROM team WHERE team_name IS NOT NULL),
+n AS (SELECT v, r, {_NORM.format('v')} AS n FROM s), c AS (SELECT n, first(v ORDER BY length(trim(v)), lower(replace(v, 'İ', 'i')), v) FILTER (WHERE r) AS canonical FROM n WHERE n <> '' GROUP BY n HAVING count(DISTINCT r) = 2)
 SELECT DISTINCT v AS variant, canonical FROM n JOIN c USING (n) WHERE v <> canonical"""
 
 
-def _team_map(spark, folder, whole=False):
+def _team_map(spark, folder):
     p, t = table(spark, folder, "player"), table(spark, folder, "team")
-    if not whole:
-        p, t = p.where(~F.contains("team", F.lit("İ"))), t.where(~F.contains("team_name", F.lit("İ")))
     return p, rs.alignment_map(p, "team", t, "team_name")
 
 
@@ -357,25 +350,12 @@ def align_exact(spark, folder):
     return _team_map(spark, folder)[1]
 
 
-@query(f"WITH m AS ({_ALIGN}) SELECT id, coalesce(canonical, team) AS team FROM player LEFT JOIN m ON team = variant WHERE team IS NOT NULL AND team NOT LIKE '%İ%'")
+@query(f"WITH m AS ({_ALIGN}) SELECT id, coalesce(canonical, team) AS team FROM player LEFT JOIN m ON team = variant")
 def align_apply(spark, folder):
     p, mapping = _team_map(spark, folder)
     return rs.apply_map(p.select("id", "team"), "team", mapping)
 
 
-@query()
-def align_exact_whole(spark, folder):
-    """align_exact of all names, with 'İ' too."""
-    return _team_map(spark, folder, whole=True)[1]
-
-
-@query()
-def align_apply_whole(spark, folder):
-    """align_apply of all rows; those without a team stay as they are."""
-    p, mapping = _team_map(spark, folder, whole=True)
-    return rs.apply_map(p.select("id", "team"), "team", mapping)
-
-
 @query()
 def similar_names(spark, folder):
     """Pairs of similar spellings of owners (brute force checks it in the tests)."""
@@ -475,25 +455,14 @@ def dominant_language(spark, folder):
     return ex.dominant_type(d, "subject", "lang")
 
 
-@query("""SELECT r.result_id, r.name, coalesce(contains(c.content, r.name) OR contains(trim(regexp_replace(replace(lower(c.content), ',', ''), '\\s+', ' ', 'g')), trim(regexp_replace(replace(lower(r.name), ',', ''), '\\s+', ' ', 'g'))), false) AS grounded
-FROM (SELECT result_id, chunk_id, unnest(records)['name'] AS name FROM extraction_result WHERE table_name = 'owner') r JOIN raw_chunks c USING (chunk_id) WHERE r.name IS NOT NULL AND r.name NOT LIKE '%İ%' AND c.content NOT LIKE '%İ%'""")
+@query("""SELECT r.result_id, r.name, coalesce(contains(c.content, r.name) OR contains(trim(regexp_replace(replace(lower(replace(c.content, 'İ', 'i')), ',', ''), '\\s+', ' ', 'g')), trim(regexp_replace(replace(lower(replace(r.name, 'İ', 'i')), ',', ''), '\\s+', ' ', 'g'))), false) AS grounded
+FROM (SELECT result_id, chunk_id, unnest(records)['name'] AS name FROM extraction_result WHERE table_name = 'owner') r JOIN raw_chunks c USING (chunk_id) WHERE r.name IS NOT NULL""")
 def grounded_values(spark, folder):
-    return _grounded(spark, folder)
-
-
-def _grounded(spark, folder, whole=False):
     r = table(spark, folder, "extraction_result").where("table_name = 'owner'").select("result_id", "chunk_id", F.explode("records").alias("r")).select("result_id", "chunk_id", F.try_element_at("r", F.lit("name")).alias("name"))
     both = r.where(F.col("name").isNotNull()).join(table(spark, folder, "raw_chunks").select("chunk_id", "content"), "chunk_id")
-    both = both if whole else both.where(~F.contains("name", F.lit("İ")) & ~F.contains("content", F.lit("İ")))
     return both.select("result_id", "name", ex.is_grounded(F.col("name"), F.col("content")).alias("grounded"))
 
 
-@query()
-def grounded_values_whole(spark, folder):
-    """grounded_values of all results and chunks, with 'İ' too."""
-    return _grounded(spark, folder, whole=True)
-
-
 @query()
 def response_parsing(spark, folder):
     """Records read back from answers that wrap them in prose."""
@@ -571,9 +540,9 @@ def mean_aggregate_error(spark, folder):
 @query("""WITH l AS (SELECT o_custkey, list_sort(list(o_orderpriority)) AS g, list_sort(list(o_orderpriority) FILTER (WHERE o_orderstatus = 'O')) AS f FROM orders GROUP BY 1), c AS (SELECT o_custkey, o_orderpriority, count(*) AS a, count(*) FILTER (WHERE o_orderstatus = 'O') AS b FROM orders GROUP BY 1, 2),
 s AS (SELECT o_custkey, sum(a) AS a, sum(b) AS b, sum(least(a, b)) AS s FROM c GROUP BY 1) SELECT o_custkey, round(CASE WHEN b > 0 THEN s / b ELSE 0 END, 6) AS precision, round(CASE WHEN a > 0 THEN s / a ELSE 0 END, 6) AS recall FROM s""")
 def list_cell_scores(spark, folder):
-    o = table(spark, folder, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("g"), F.collect_list(F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority"))).alias("f"))
-    s = o.select("o_custkey", ev.list_scores(F.col("g"), F.col("f")).alias("s"))
-    return s.select("o_custkey", F.round(F.col("s.precision").cast("double"), 6).alias("precision"), F.round(F.col("s.recall").cast("double"), 6).alias("recall"))
+    o = table(spark, folder, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus")
+    s = ev.list_scores(o, o.where("o_orderstatus = 'O'"), ["o_custkey"], "o_orderpriority")
+    return s.select("o_custkey", F.round(F.col("precision").cast("double"), 6).alias("precision"), F.round(F.col("recall").cast("double"), 6).alias("recall"))
 
 
 @query()
@@ -637,6 +606,5 @@ def event_windows(spark, folder):
 
 @query("SELECT operation, count(*) AS calls, CAST(sum(t) AS BIGINT) AS tokens FROM (SELECT extractor AS operation, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(content) / 4) AS BIGINT)) END AS t FROM extraction_result JOIN raw_chunks USING (chunk_id)) GROUP BY 1")
 def call_counters(spark, folder):
-    calls = table(spark, folder, "extraction_result").select(F.col("extractor").alias("operation"), "chunk_id").join(table(spark, folder, "raw_chunks").select("chunk_id", "content"), "chunk_id")
-    return calls.groupBy("operation").agg(F.count("*").alias("calls"), F.sum(tx.token_estimate(F.col("content"))).alias("tokens"))
-
+    calls = table(spark, folder, "extraction_result").select("extractor", "chunk_id").join(table(spark, folder, "raw_chunks").select("chunk_id", "content"), "chunk_id")
+    return st.call_counters(calls, "extractor", tx.token_estimate(F.col("content")))

@@ -29,7 +29,7 @@ STATEMENTS = {
     "sql_alias": "SELECT p.p_partkey AS part_id, p.p_size AS size FROM part p",
     "sql_filter_eq": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'",
     "sql_filter_range": "SELECT o_orderkey FROM orders WHERE o_totalprice >= 150000 AND o_totalprice < 200000 AND o_orderstatus != 'F'",
-    "sql_filter_le_gt": "SELECT p_partkey, p_size FROM part WHERE p_size <= 10 AND p_retailprice > 1000",
+    "sql_filter_le_gt": "SELECT p_partkey, p_size FROM part WHERE p_size <= 10 AND p_retailprice > 950",
     "sql_filter_nested": "SELECT c_custkey FROM customer WHERE (c_mktsegment = 'BUILDING' OR c_acctbal < 0) AND (c_nationkey = 3 OR c_nationkey = 7 OR c_acctbal > 5000)",
     "sql_filter_not_null": "SELECT id, position FROM player WHERE position IS NOT NULL",
     "sql_text_range": "SELECT id, birth_date FROM player WHERE birth_date > '1990/01/01' AND birth_date <= '1999/12/31'",
@@ -63,7 +63,7 @@ STATEMENTS = {
     "sql_window_rank": "SELECT o_custkey, o_orderkey, r FROM (SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) x WHERE r <= 3",
     "sql_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)",
     "sql_cte": "WITH big AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT n, COUNT(*) AS customers FROM big GROUP BY n",
-    "sql_case_in_like": "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 15 THEN 'small' WHEN p_size IN (20, 30, 40) THEN 'round' ELSE 'other' END AS kind FROM part WHERE p_type LIKE '%STEEL%'",
+    "sql_case_in_like": "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 15 THEN 'small' WHEN p_size IN (20, 30, 40) THEN 'round' ELSE 'other' END AS kind FROM part WHERE p_type LIKE '%DIU%'",
     "sql_distinct_aggregate": "SELECT user_id, COUNT(DISTINCT event_type) AS kinds FROM events GROUP BY user_id",
     "sql_rollup": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "sql_cube": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
