@@ -1,10 +1,14 @@
+import json
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textrel.operators import evaluate as ev
 from textrel.operators import extract as ex
 from textrel.operators import resolve as rs
+from textrel.operators import skew as sk
+from textrel.operators.model import ModelExtractor, ask, extraction_prompt
 
 
 def test_similar_pairs_against_brute_force(spark):
@@ -112,3 +116,76 @@ def test_names_match_in_levels(spark):
     assert {r.found: (r.gold, r.level) for r in ev.name_matches(gold, names, "name").collect()} == {n.strip(): v for n, v in found.items()}
     rewritten = sorted(r.name or "" for r in ev.rewritten_keys(gold, names, "name").collect())
     assert rewritten == sorted([" Ann Lee ", "Nobody Known", "", "  ", *[g for n, (g, _) in found.items() if n != " Ann Lee "], "Jose Nunez"])
+
+
+def test_broken_answers_are_mended():
+    good = '[{"name": "Ann", "age": "3"}]'
+    for broken in ("```json\n" + good + "\n```", '[{"name": "Ann", "age": "3",}]', "[{'name': 'Ann', 'age': '3'}]", '{name: "Ann", age: "3"', '[{"name": "Ann", "age": "3"', 'So: [{"name": "Ann", "age": "3"},'):
+        found = json.loads(ex.repaired_json(broken))
+        assert (found if isinstance(found, dict) else found[0]) == {"name": "Ann", "age": "3"}, broken
+    assert ex.repaired_json("no json") is None and ex.repaired_json("") is None and ex.repaired_json("[}") is None
+
+
+def test_answers_about_passages(spark):
+    answer = '{"passage_1": [{"name": {"value": "Ann", "span": "Ann came"}, "age": 3, "x": 1}], "passage_2": [], "passage_3": [{"name": "n/a"}], "other": 4}'
+    rows = ex.passage_records(spark.createDataFrame([(1, answer), (2, "none"), (3, None)], "k int, a string"), "k", "a", ["name", "age"]).collect()
+    assert [(r.k, r.passage, r.position, r.record, r.spans) for r in rows] == [(1, 1, 0, {"name": "Ann", "age": "3"}, {"name": "Ann came"}), (1, 3, 0, {"name": None}, {})]
+
+
+def test_model_extractor(spark):
+    """Column batches and chunk groups, a call that fails, an answer that has to be repaired, and cells that the text does not hold."""
+
+    def connect():
+        seen = []
+
+        def call(prompt):
+            seen.append(prompt)
+            if len(seen) == 1:
+                raise OSError("busy")
+            if prompt.startswith("This should be JSON"):
+                return '{"passage_1": [{"age": "7"}], "passage_2": [{"age": "99"}]}'
+            if "- age" in prompt:
+                return "I cannot"
+            return '{"passage_1": [{"name": {"value": "Ann", "span": "Ann"}}], "passage_2": [{"name": "Zed"}]}'
+
+        return call
+
+    chunks = spark.createDataFrame([("a", "Ann is 7"), ("b", "Bo is here")], "chunk_id string, content string").coalesce(1)
+    x = ModelExtractor(connect, "player", {"name": "text", "age": "number"}, {"name": ["Ann Lee"]}, column_batch=1, chunk_group=2, delay=0.0)
+    found = {r.chunk_id: r.records for r in x(chunks).collect()}
+    assert found == {"a": [{"name": "Ann", "age": "7"}], "b": [{"name": "Zed", "age": "99"}]}
+    assert {r.chunk_id: r.records for r in ex.grounded_records(x(chunks), chunks).collect()} == {"a": [{"name": "Ann", "age": "7"}], "b": []}
+    assert "spell it like one of: Ann Lee" in extraction_prompt("player", {"name": "text"}, ["x"], {"name": ["Ann Lee"]})
+    assert ask(lambda p: "never", "p", 2, ["a"], retries=2, delay=0.0) == [[], []]
+
+
+def test_summaries_and_tables(spark):
+    text = "\n".join(["Ann Lee", *[f"Line {i}." for i in range(12)], "She owns a stake in it. The weather is fine! A stake of a company was bought."])
+    d = spark.createDataFrame([(1, text), (2, None), (3, "  "), (4, "word " * 3000 + ". A stake here.")], "k int, t string")
+    got = {r.k: r.s for r in d.select("k", ex.summary(F.col("t"), ["stake", "company"]).alias("s")).collect()}
+    assert got[1].split("\n") == ["Ann Lee", *[f"Line {i}." for i in range(9)], "She owns a stake in it.", "A stake of a company was bought."]
+    assert got[2] == got[3] == "" and len(got[4]) <= 3500
+    tables = {"owner": ["stake", "company"], "player": ["points"]}
+    assert [r[0] for r in d.orderBy("k").select(ex.table_of(F.col("t"), tables)).collect()] == ["owner", None, None, "owner"]
+    gated = ex.document_identity(d.withColumn("table_name", F.lit("player")), "t", vocabulary=tables).where("k = 1").first()
+    assert gated.reject_reason == "other_table" and gated.identity is None
+
+
+def test_resolution_keeps_types_apart(spark):
+    m = spark.createDataFrame([("PERSON", "Jonathan Smithson"), ("PERSON", "jonathan smithsen"), ("ORG", "jonathan smithsan"), ("ORG", "Bo"), ("ORG", " "), ("ORG", None)], "semantic_type string, value string")
+    got = {(r.semantic_type, r.key): r.canonical for r in rs.resolved_by_type(m, 0.9).collect()}
+    assert got == {("PERSON", "jonathan smithson"): "jonathan smithson", ("PERSON", "jonathan smithsen"): "jonathan smithson", ("ORG", "jonathan smithsan"): "jonathan smithsan", ("ORG", "bo"): "bo"}
+
+
+def test_hot_keys_are_split(spark):
+    """One key with a third of the rows, each at its own place."""
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id")
+    window = Window.partitionBy("k").orderBy("id")
+    expected = {(r.k, r.id): r.n for r in rows.withColumn("n", F.row_number().over(window)).collect()}
+    assert {(r.k, r.id): r.n for r in sk.numbered(rows, ["k"], ["id"], "n").collect()} == expected
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r.n for r in sk.range_bucketed(rows, ["k"], ["id"]).where("k = 'hot'").groupBy("_bucket").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 2 and max(sizes) <= 6000 / 4 * 1.5

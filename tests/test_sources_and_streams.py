@@ -1,7 +1,7 @@
 import json
 
 from textrel.sources import files
-from textrel.streaming.ingest import document_stream, ingest
+from textrel.streaming.ingest import document_stream, ingest, stored_chunks
 
 
 def test_text_and_csv(spark, tmp_path):
@@ -22,20 +22,22 @@ def test_text_and_csv(spark, tmp_path):
     assert json.loads((tmp_path / "res/acc.json").read_text()) == {"f1": 1}
 
 
-def test_workloads(tmp_path):
+def test_workloads(spark, tmp_path):
     text = "-- Query 1: first\nSELECT ';' AS a; -- rest\n/* no; */ SELECT b\nFROM t;\n-- Q2:\nSELECT c"
     got = files.workload(text)
     assert [(s.label, s.sql) for s in got] == [("Query 1: first", "SELECT ';' AS a"), ("", "SELECT b\nFROM t"), ("Q2", "SELECT c")]
     (tmp_path / "w.sql").write_text(text)
-    assert files.read_workload(str(tmp_path)) == got
-    paths = files.write_manifests(str(tmp_path / "m"), got, {"t": {"b": {"value_type": "int"}}}, lambda sql: {"t": {"b"}} if "FROM t" in sql else {})
+    assert files.read_workload(spark, str(tmp_path)) == got
+    paths = files.write_manifests(spark, str(tmp_path / "m"), got, {"t": {"b": {"value_type": "int"}}}, lambda sql: {"t": {"b"}} if "FROM t" in sql else {})
     assert json.load(open(paths[1]))["t"] == {"b": {"value_type": "int"}}
 
 
-def test_stream_adds_each_chunk_once(spark, tmp_path):
+def test_stream_adds_each_document_once(spark, tmp_path):
+    """A document that comes again, in a batch or later, adds nothing; a stream that is started again goes on where it was."""
     docs = spark.createDataFrame([(1, "the arena is full"), (2, "nothing here"), (1, "the arena is full")], "doc_id bigint, text string")
     docs.write.parquet(str(tmp_path / "in"))
     for n in range(2):
-        q = ingest(document_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / f"check{n}"), ["arena"])
-        q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).count() <= 2 and spark.read.parquet(str(tmp_path / "out")).select("chunk_id").distinct().count() == 1
+        ingest(document_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), ["arena"]).awaitTermination(60)
+        assert [(r.doc_id, r.content) for r in stored_chunks(spark, str(tmp_path / "out")).collect()] == [(1, "the arena is full")]
+        if not n:
+            spark.createDataFrame([(1, "again the arena"), (3, "an arena")], "doc_id bigint, text string").where("doc_id = 1").write.mode("append").parquet(str(tmp_path / "in"))

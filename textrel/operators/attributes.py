@@ -12,7 +12,8 @@ from textrel.functions.text import canonical_attribute
 #: Share of the key occurrences a key needs to stay in a schema, share of the indexed chunks beyond which an attribute selects
 #: nothing, least ratio of a fuzzy match, and how many such matches are used.
 SCHEMA_SHARE, OVERBROAD_SHARE, FUZZY_RATIO, FUZZY_MATCHES = 0.2, 0.3, 0.6, 3
-ROW_DELTA_CHUNKS, COLUMN_DELTA_CHUNKS = 500, 50
+#: Chunks of the report index_chunks; deltas read all.
+REPORTED_CHUNKS = 50
 
 
 def key_frequencies(records: DataFrame, column: str, share: float = SCHEMA_SHARE) -> DataFrame:
@@ -74,7 +75,15 @@ class StaleIndexError(RuntimeError):
 
 
 def require_fresh(index: DataFrame, candidates: DataFrame, table_name: str) -> DataFrame:
+    """indexed_candidates; an index of a table that knows none of its candidates raises StaleIndexError."""
     shared = indexed_candidates(index, candidates, table_name)
     if not index.where(F.col("table_name") == table_name).limit(1).isEmpty() and shared.limit(1).isEmpty():
         raise StaleIndexError(table_name)
     return shared
+
+
+def candidate_chunks(index: DataFrame, candidates: DataFrame, table_name: str, attributes: list[str]) -> DataFrame:
+    """All chunks that mention one of the attributes and are candidates of the table: chunk_id. A stale index raises StaleIndexError."""
+    fresh = require_fresh(index, candidates, table_name)
+    hit = index.where((F.col("table_name") == table_name) & F.col("attribute").isin(attributes)).select("chunk_id").distinct()
+    return hit.join(fresh, "chunk_id", "left_semi")

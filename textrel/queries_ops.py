@@ -13,9 +13,10 @@ from textrel.operators import extract as ex
 from textrel.operators import resolve as rs
 from textrel.operators import store as st
 from textrel.plans import delta as dl
+from textrel.plans import rewrite as rw
 from textrel.plans.engine import Engine
 from textrel.plans.lattice import build, name_variations
-from textrel.plans.profile import profile
+from textrel.plans.profile import Predicate, profile
 from textrel.queries import query
 from textrel.queries_sql import STATEMENTS
 from textrel.session import table
@@ -316,7 +317,7 @@ def index_selective(spark, folder):
 @query("SELECT DISTINCT chunk_id FROM (SELECT table_name, chunk_id, unnest(schema_keys) AS k FROM extraction_result) WHERE table_name = 'player' AND k IN ('college', 'draft_year') ORDER BY chunk_id LIMIT 50")
 def index_chunks(spark, folder):
     wanted = [a for w in ("colege", "draft_year") for a in ai.fuzzy_attributes(w, ["name", "birth_date", "college", "draft_year", "team", "position", "nationality"], most=1)]
-    return ai.chunks_for(ai.entries(_discoveries(spark, folder)), "player", wanted, ai.COLUMN_DELTA_CHUNKS)
+    return ai.chunks_for(ai.entries(_discoveries(spark, folder)), "player", wanted, ai.REPORTED_CHUNKS)
 
 
 @query("SELECT DISTINCT chunk_id FROM extraction_result WHERE table_name = 'team' AND len(schema_keys) > 0 AND chunk_id IN (SELECT chunk_id FROM raw_chunks WHERE doc_id LIKE 'team/%')")
@@ -373,6 +374,14 @@ def mentions(spark, folder):
     return rs.mentions_of(table(spark, folder, "owner"), "id", {"name": "PERSON", "nba_team": "ORG"})
 
 
+@query()
+def resolved_by_type(spark, folder):
+    """Names of owners and players' clubs resolved per semantic type, over all tables that mention the type."""
+    o, p = table(spark, folder, "owner"), table(spark, folder, "player")
+    m = rs.mentions_of(o, "id", {"name": "PERSON", "nba_team": "ORG"}).unionByName(rs.mentions_of(p, "id", {"team": "ORG"}))
+    return rs.resolved_by_type(m, 0.9)
+
+
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS c FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(c, 5) AS cosine, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def nearest_vectors(spark, folder):
@@ -437,9 +446,12 @@ def extract_player(spark, folder):
     return _rules(spark, folder, "player")
 
 
-@query("""SELECT doc_id, r AS reject_reason, CASE WHEN r IS NULL THEN h END AS identity FROM (SELECT doc_id, h, CASE WHEN coalesce(trim(text), '') = '' THEN 'blank' WHEN h IS NULL OR lower(trim(regexp_replace(h, '\\s+', ' ', 'g'))) IN ('', 'n/a', 'none', 'null', 'unknown') THEN 'missing' WHEN regexp_full_match(h, '[\\d\\s.,]+') THEN 'digits'
+_IDENTITY = """SELECT doc_id, table_name, text, r AS reject_reason, CASE WHEN r IS NULL THEN h END AS identity FROM (SELECT doc_id, table_name, text, h, CASE WHEN coalesce(trim(text), '') = '' THEN 'blank' WHEN h IS NULL OR lower(trim(regexp_replace(h, '\\s+', ' ', 'g'))) IN ('', 'n/a', 'none', 'null', 'unknown') THEN 'missing' WHEN regexp_full_match(h, '[\\d\\s.,]+') THEN 'digits'
 WHEN regexp_matches(h, '[.!?…。！？।][''"”’»)\\]]*$') AND NOT regexp_matches(h, '\\b(Jr|Sr)\\.$') THEN 'sentence' WHEN len(regexp_split_to_array(h, '\\s+')) > 8 THEN 'too_long' END AS r
-FROM (SELECT doc_id, text, trim(regexp_extract(text, '^\\s*([^\\n]+)', 1)) AS h FROM documents))""")
+FROM (SELECT doc_id, table_name, text, trim(regexp_extract(text, '^\\s*([^\\n]+)', 1)) AS h FROM documents))"""
+
+
+@query(f"SELECT doc_id, reject_reason, identity FROM ({_IDENTITY})")
 def document_identity(spark, folder):
     return ex.document_identity(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "reject_reason", "identity")
 
@@ -476,6 +488,62 @@ def validated_records(spark, folder):
     return ex.validated(r, {"stake": "number", "price": "text", "trade": "text"}, "content").drop("content")
 
 
+_VARIATIONS = {c: name_variations(c) for c in ("draft_pick", "college", "stake", "points", "home_games")}
+
+
+@query(" UNION ALL ".join(f"SELECT chunk_id, '{c}' AS attribute FROM raw_chunks WHERE regexp_matches(content, '{ch.keyword_pattern(v)}')" for c, v in _VARIATIONS.items()))
+def attribute_discovery(spark, folder):
+    """The attributes each chunk speaks of, by the ways their names are written."""
+    return ex.discovered_attributes(table(spark, folder, "raw_chunks").select("chunk_id", "content"), _VARIATIONS)
+
+
+@query(r"""WITH m AS (SELECT chunk_id, unnest(regexp_extract_all(content, '(\p{Lu}[\p{L}’''-]+(?: \p{Lu}[\p{L}’''-]+)+)', 1)) AS mention FROM raw_chunks), c AS (SELECT chunk_id, mention, count(*) AS n FROM m GROUP BY 1, 2)
+SELECT chunk_id, first(mention ORDER BY n DESC, mention) AS mention, max(n) AS n FROM c GROUP BY 1""")
+def chunk_mentions(spark, folder):
+    """The name that each chunk repeats most."""
+    return ex.chunk_mentions(table(spark, folder, "raw_chunks").select("chunk_id", "content"))
+
+
+@query()
+def dominant_kind(spark, folder):
+    """What the names that chunks repeat most are: persons, organisations or places."""
+    return ex.dominant_kind(table(spark, folder, "raw_chunks").select("chunk_id", "content"))
+
+
+_VOCABULARY = {"player": ["player", "overall pick", "drafted", "points"], "team": ["home games", "arena", "season"], "owner": ["stake", "owner", "company", "bought"]}
+
+
+@query()
+def document_summaries(spark, folder):
+    """What each document says about the vocabulary of the tables, and which table it speaks of."""
+    d = table(spark, folder, "documents").select("doc_id", "table_name", ex.summary(F.col("text"), [w for v in _VOCABULARY.values() for w in v]).alias("summary"))
+    return d.select("doc_id", "table_name", "summary", ex.table_of(F.col("summary"), _VOCABULARY).alias("spoken_table"))
+
+
+def _spoken_sql() -> str:
+    counts = {t: " + ".join(f"CAST(contains(lower(coalesce(text, '')), '{w}') AS INTEGER)" for w in v) for t, v in _VOCABULARY.items()}
+    each = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS t, {n} AS n FROM documents" for t, n in counts.items())
+    return f"SELECT doc_id, CASE WHEN max(n) > 0 THEN first(t ORDER BY n DESC, t) END AS spoken_table FROM ({each}) GROUP BY doc_id"
+
+
+@query(_spoken_sql())
+def spoken_tables(spark, folder):
+    """The table whose vocabulary each whole document uses most."""
+    return table(spark, folder, "documents").select("doc_id", ex.table_of(F.col("text"), _VOCABULARY).alias("spoken_table"))
+
+
+@query("""WITH r AS (SELECT result_id, unnest(records) AS m, generate_subscripts(records, 1) - 1 AS position FROM extraction_result), e AS (SELECT result_id, CAST(position AS INTEGER) AS position, unnest(map_entries(m)) AS x FROM r WHERE m IS NOT NULL)
+SELECT result_id, position, x.key AS field_name, nullif(trim(x.value), '') AS value, x.key AS span FROM e WHERE x.key IN ('name', 'team_name', 'team', 'age') AND x.value IS NOT NULL AND lower(trim(x.value)) NOT IN ('n/a', 'none', 'null', 'unknown', '') AND NOT starts_with(trim(x.value), '[')""")
+def passage_answers(spark, folder):
+    """Cells read back from answers that give a value and the words that prove it (here the field's name)."""
+    r = table(spark, folder, "extraction_result").where("records IS NOT NULL")
+    boxed = F.transform("records", lambda m: F.transform_values(m, lambda k, v: F.struct(v.alias("value"), k.alias("span"))))
+    answers = r.select("result_id", F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct(boxed.alias("passage_1")), {"ignoreNullFields": "false"}), F.lit("\n```")).alias("answer"))
+    found = ex.passage_records(answers, "result_id", "answer", ["name", "team_name", "team", "age"])
+    cells = found.select("result_id", "position", "spans", F.explode("record").alias("field_name", "value")).where(F.col("value").isNotNull() & ~F.startswith("value", F.lit("[")))
+    return cells.select("result_id", "position", "field_name", "value", F.try_element_at("spans", F.col("field_name")).alias("span"))
+
+
 @query()
 def refined_records(spark, folder):
     """One record per document from the records of its chunks; later grounded values replace earlier ones."""
@@ -484,6 +552,12 @@ def refined_records(spark, folder):
     return ex.refined(r.join(c, "chunk_id"), "doc_id", "chunk_index", "record", "content")
 
 
+@query()
+def refined_by_passages(spark, folder):
+    """Records of players' chunks read in passages of 100 words."""
+    return ex.refined_by_passages(_chunks_of(spark, folder, "player"), ex.rule_extractor(ex.RULES["player"]), 100)
+
+
 # Evaluation
 
 
@@ -584,19 +658,96 @@ def delta_plans(spark, folder):
     return spark.createDataFrame(rows, "statement string, kind string, missing_columns array<string>, missing_predicates int, cost double")
 
 
-@query()
+def _align_sql(n: int, left: str, lc: str, right: str, rc: str) -> str:
+    """CTE m<n> (variant, canonical): keys equal but for letter case, punctuation and blanks, and the most similar right keys of left ones without such a partner."""
+    norm = _NORM.format("v")
+    return f"""s{n} AS (SELECT v, r, {norm} AS n FROM (SELECT DISTINCT {lc} AS v, false AS r FROM {left} WHERE {lc} IS NOT NULL UNION SELECT DISTINCT {rc}, true FROM {right} WHERE {rc} IS NOT NULL)),
+c{n} AS (SELECT n, first(v ORDER BY length(trim(v)), lower(replace(v, 'İ', 'i')), v) AS canonical FROM s{n} WHERE r AND n <> '' GROUP BY n),
+o{n} AS (SELECT v, n FROM s{n} WHERE NOT r AND n <> '' AND n NOT IN (SELECT n FROM c{n})),
+b{n} AS (SELECT o.n, first(c.canonical ORDER BY levenshtein(o.n, c.n) / greatest(length(o.n), length(c.n)), lower(replace(c.canonical, 'İ', 'i')), c.canonical) AS canonical FROM (SELECT DISTINCT n FROM o{n}) o JOIN c{n} c
+  ON length(o.n) >= 3 AND length(c.n) >= 3 AND levenshtein(o.n, c.n) <= 0.05 * greatest(length(o.n), length(c.n)) + 1e-9 GROUP BY o.n),
+m{n} AS (SELECT s.v AS variant, c.canonical FROM s{n} s JOIN c{n} c USING (n) WHERE s.v <> c.canonical AND n IN (SELECT n FROM s{n} WHERE NOT r) UNION SELECT o.v, b.canonical FROM o{n} o JOIN b{n} b USING (n))"""
+
+
+@query(f"""WITH {_align_sql(1, 'player', 'team', 'team', 'team_name')},
+p AS (SELECT age, coalesce(canonical, team) AS team FROM player LEFT JOIN m1 ON team = variant), t AS (SELECT coalesce(canonical, team_name) AS team_name, location FROM team LEFT JOIN m1 ON team_name = variant),
+{_align_sql(2, 't', 'location', 'city', 'city_name')},
+u AS (SELECT team_name, coalesce(canonical, location) AS location FROM t LEFT JOIN m2 ON location = variant), c AS (SELECT coalesce(canonical, city_name) AS city_name FROM city LEFT JOIN m2 ON city_name = variant)
+SELECT u.location, count(*) AS n_players, max(p.age) AS oldest FROM p JOIN u ON p.team = u.team_name JOIN c ON u.location = c.city_name WHERE p.age > 20 GROUP BY u.location""")
 def engine_aligned_query(spark, folder):
-    """A join answered by the engine: keys that differ in letter case, punctuation or blanks only are brought to one spelling first."""
+    """A join answered by the engine: keys that differ in letter case, punctuation or blanks only are brought to one spelling first, then
+    those that are only similar."""
     engine = Engine(spark).load({t: table(spark, folder, t) for t in ("player", "team", "city")})
     return engine.query("SELECT t.location, COUNT(*) AS n_players, MAX(p.age) AS oldest FROM player p JOIN team t ON p.team = t.team_name JOIN city c ON t.location = c.city_name WHERE p.age > 20 GROUP BY t.location").rows
 
 
+def _documents(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", "table_name", "text")
+
+
 @query()
 def engine_synthesis(spark, folder):
-    """A table synthesized from documents for a workload, then queried."""
-    documents = table(spark, folder, "documents").where("table_name IS NOT NULL").select("doc_id", "table_name", "text")
-    engine = Engine(spark).preprocess(["SELECT name, birth_date, team, college, points FROM player WHERE draft_year > 1980"], documents)
-    return engine.query("SELECT name, birth_date, team, college, points FROM player WHERE birth_date IS NOT NULL OR college IS NOT NULL").rows
+    """A table synthesized from all documents in chunks for a workload, then queried (the tests follow it step by step in Python)."""
+    engine = Engine(spark).preprocess(["SELECT name, birth_date, team, college, points FROM player WHERE draft_year > 1980"], _documents(spark, folder))
+    return engine.query("SELECT name, birth_date, team, college, points FROM player").rows
+
+
+def _synthesis_sql(columns: list[str]) -> str:
+    rules = ex.RULES["player"]
+    cells = ", ".join("nullif(regexp_extract(text, '{}', 1), '') AS {}".format(p.replace("'", "''"), "found_name" if c == "name" else c) for c, p in rules.items())
+    some = " OR ".join(f"{'found_name' if c == 'name' else c} IS NOT NULL" for c in rules)
+    best = "".join(f", {c}_ AS (SELECT e, first(v ORDER BY n DESC, f, v) AS {c} FROM (SELECT e, {c} AS v, count(*) AS n, min(chunk_id) AS f FROM r WHERE {c} IS NOT NULL GROUP BY 1, 2) GROUP BY e)" for c in columns)
+    joins = "".join(f" LEFT JOIN {c}_ USING (e)" for c in columns)
+    return f"""WITH d AS ({_IDENTITY}), x AS (SELECT doc_id, trim(identity) AS identity, sha256(doc_id || '|0') AS chunk_id, {cells} FROM d WHERE table_name = 'player'),
+r AS (SELECT *, coalesce(identity, found_name) AS name, CASE WHEN identity IS NULL THEN 'doc:' || doc_id ELSE lower(replace(identity, 'İ', 'i')) END AS e FROM x WHERE {some}){best}
+SELECT {', '.join(columns)} FROM (SELECT DISTINCT e FROM r){joins}"""
+
+
+@query(_synthesis_sql(["name", "birth_date", "team", "college", "points"]))
+def engine_whole_documents(spark, folder):
+    """A table synthesized from documents that are read as one piece each."""
+    engine = Engine(spark, whole_documents=True).preprocess(["SELECT name, birth_date, team, college, points FROM player"], _documents(spark, folder))
+    return engine.query("SELECT name, birth_date, team, college, points FROM player").rows
+
+
+@query(_synthesis_sql(["name", "points", "college", "draft_pick"]))
+def engine_column_delta(spark, folder):
+    """Columns that the workload did not name, added by the query that asks for them: the same values as if they had been there at once."""
+    engine = Engine(spark, whole_documents=True).preprocess(["SELECT name, birth_date, team FROM player"], _documents(spark, folder))
+    engine.query("SELECT points, college FROM player")
+    return engine.query("SELECT name, points, college, draft_pick FROM player").rows
+
+
+@query(_synthesis_sql(["name", "birth_date", "team", "draft_year"]) + " WHERE TRY_CAST(draft_year AS DOUBLE) >= 2000")
+def engine_row_delta(spark, folder):
+    """Rows outside what a partial table holds, added by the query that asks for them."""
+    engine = Engine(spark, whole_documents=True).preprocess(["SELECT name, birth_date, team, draft_year FROM player"], _documents(spark, folder))
+    held = engine.tables["player"].where("draft_year < '1990'")
+    engine.registry = dl.Registry()
+    engine.load({"player": held}, {("player", "draft_year"): frozenset([Predicate("player", "draft_year", "<", "1990")])})
+    return engine.query("SELECT name, birth_date, team, draft_year FROM player WHERE draft_year >= 2000").rows
+
+
+@query()
+def engine_preflight(spark, folder):
+    """The checks before synthesis of a workload that asks for a table without texts and columns that no rule can find."""
+    found = Engine(spark).preflight(["SELECT name, height FROM player", "SELECT city_name FROM city", "SELECT FROM nothing WHERE"], _documents(spark, folder))
+    return spark.createDataFrame([(f.check, f.passed, f.detail) for f in found], "check string, passed boolean, detail string")
+
+
+@query()
+def statement_types(spark, folder):
+    """Type of each statement, the keys that tell its rows apart, and its text with id columns for rows to be matched by."""
+    rows = [(n, rw.query_type(p := profile(spark, s)), rw.result_keys(p), rw.with_columns(spark, s)) for n, s in sorted(STATEMENTS.items())]
+    return spark.createDataFrame(rows, "statement string, kind string, result_keys array<string>, with_ids string")
+
+
+@query("SELECT player.id AS player_id, t.id AS team_id FROM player JOIN team t ON player.team = t.team_name WHERE player.nationality = 'French'")
+def canonical_literals(spark, folder):
+    """A statement whose literal is a variant of a known value, answered with the canonical form in its place."""
+    engine = Engine(spark, align_keys=False).load({t: table(spark, folder, t) for t in ("player", "team")})
+    engine.forms = spark.createDataFrame([("frensh", "French"), ("the french", "French")], "key string, canonical string")
+    return engine.query("SELECT player.id AS player_id, t.id AS team_id FROM player JOIN team t ON player.team = t.team_name WHERE player.nationality = 'Frensh'").rows
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from dataclasses import dataclass
 
@@ -13,14 +12,43 @@ from pyspark.sql import functions as F
 from textrel.functions.text import squeezed
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on any file system that Spark can reach; parents are made, an old file is replaced."""
+    p, fs = _hadoop_path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file from any file system that Spark can reach."""
+    p, fs = _hadoop_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop_path(spark, path)
+    return bool(fs.exists(p))
+
+
 def text_documents(spark: SparkSession, folder: str) -> DataFrame:
     """All ``.txt`` files below a folder: doc_id (path relative to the folder), table_name (first folder of it, null if none), text."""
-    root = os.path.abspath(folder) if "://" not in folder else folder.rstrip("/")
+    p, fs = _hadoop_path(spark, folder)
+    root = fs.makeQualified(p).toUri().getPath().rstrip("/")
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    path = F.regexp_replace(F.url_decode(F.regexp_replace("_path", r"\+", "%2B")), "^file:/*", "/")
-    docs = files.select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("text")).withColumn("_path", path)
-    doc = F.regexp_replace(F.expr(f"substring(_path, instr(_path, '{os.path.basename(root)}/') + {len(os.path.basename(root)) + 1})"), "^/+", "")
-    docs = docs.withColumn("doc_id", doc)
+    path = F.regexp_replace(F.url_decode(F.regexp_replace("_path", r"\+", "%2B")), "^[a-zA-Z0-9+.-]+:(?://[^/]*)?/*", "/")
+    docs = files.select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("text")).withColumn("doc_id", F.substr(path, F.lit(len(root) + 2)))
     return docs.select("doc_id", F.when(F.contains("doc_id", F.lit("/")), F.split_part("doc_id", F.lit("/"), F.lit(1))).alias("table_name"), "text")
 
 
@@ -55,12 +83,10 @@ def predictions(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
 
 
 def write_results(folder: str, gold: DataFrame, found: DataFrame, metrics: dict) -> None:
-    """Gold and matched rows as CSV folders, metrics as ``acc.json``."""
-    gold.write.mode("overwrite").option("header", "true").csv(os.path.join(folder, "gold"))
-    found.write.mode("overwrite").option("header", "true").csv(os.path.join(folder, "matched"))
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, "acc.json"), "w") as f:
-        json.dump(metrics, f, indent=1)
+    """Gold and matched rows as CSV folders, metrics as ``acc.json``, on any file system."""
+    gold.write.mode("overwrite").option("header", "true").csv(f"{folder}/gold")
+    found.write.mode("overwrite").option("header", "true").csv(f"{folder}/matched")
+    write_text(gold.sparkSession, f"{folder}/acc.json", json.dumps(metrics, indent=1))
 
 
 @dataclass(frozen=True)
@@ -128,28 +154,18 @@ def workload(text: str) -> list[Statement]:
     return statements
 
 
-def read_workload(path: str) -> list[Statement]:
-    """The statements of a file, or of all ``.sql`` files below a folder in order of their paths."""
-    if os.path.isdir(path):
-        names = sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".sql"))
-    else:
-        names = [path]
-    out: list[Statement] = []
-    for n in names:
-        with open(n, encoding="utf-8") as f:
-            out += workload(f.read())
-    return out
+def read_workload(spark: SparkSession, path: str) -> list[Statement]:
+    """The statements of a file, or of all ``.sql`` files below a folder in order of their paths, from any file system."""
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").text(path, wholetext=True)
+    rows = texts.select(F.col("_metadata.file_path").alias("path"), "value").collect()  # a workload is text written by people
+    return [s for r in sorted(rows) for s in workload(r["value"])]
 
 
-def write_manifests(folder: str, statements: list[Statement], attributes: dict[str, dict], needed) -> list[str]:
+def write_manifests(spark: SparkSession, folder: str, statements: list[Statement], attributes: dict[str, dict], needed) -> list[str]:
     """A folder ``q<n>`` with ``sql.json`` per statement: the SQL and the metadata of the attributes that ``needed(sql)`` names by table."""
     written = []
     for n, s in enumerate(statements, 1):
-        d = os.path.join(folder, f"q{n}")
-        os.makedirs(d, exist_ok=True)
         meta = {t: {c: attributes.get(t, {}).get(c, {}) for c in sorted(cs)} for t, cs in sorted(needed(s.sql).items())}
-        path = os.path.join(d, "sql.json")
-        with open(path, "w") as f:
-            json.dump({"sql": s.sql} | meta, f, indent=1)
-        written.append(path)
+        written.append(f"{folder}/q{n}/sql.json")
+        write_text(spark, written[-1], json.dumps({"sql": s.sql} | meta, indent=1))
     return written

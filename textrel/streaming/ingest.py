@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textrel.operators.chunks import chunk_id, new_chunks, recursive_chunks, sieve
+from textrel.operators.chunks import chunk_id, recursive_chunks, sieve
 
 
 def document_stream(spark: SparkSession, folder: str, schema: str = "doc_id bigint, text string", files_per_batch: int = 8) -> DataFrame:
@@ -14,22 +14,24 @@ def document_stream(spark: SparkSession, folder: str, schema: str = "doc_id bigi
 
 
 def ingest(stream: DataFrame, chunks_folder: str, checkpoint: str, keywords: list[str] | None = None) -> StreamingQuery:
-    """Append the new chunks of a document stream to a Parquet folder. A batch that is run again adds nothing, since chunk ids are
-    made from document and place and stored ones are skipped."""
+    """Chunks of a document stream as Parquet, a folder ``batch=<n>`` per micro-batch.
+
+    Documents that came before are known from the stream's own state, which is keyed by doc_id (the first text of an id
+    counts), so no batch reads what is stored. A batch that is run again writes its folder again.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         pieces = recursive_chunks(batch, "doc_id", "text").withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("chunk_index")))
         kept = sieve(pieces, "content", keywords) if keywords else pieces
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.schema("doc_id bigint, chunk_index int, content string, chunk_id string").parquet(chunks_folder)
-            kept = new_chunks(stored, kept)
-        except Exception as e:  # the folder is made by the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        kept.select("doc_id", "chunk_index", "content", "chunk_id").write.mode("append").parquet(chunks_folder)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        kept.select("doc_id", "chunk_index", "content", "chunk_id").write.mode("overwrite").parquet(f"{chunks_folder}/batch={number}")
+
+    once = stream.dropDuplicates(["doc_id"])
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_chunks(spark: SparkSession, chunks_folder: str) -> DataFrame:
+    """What ingest has written so far."""
+    return spark.read.parquet(chunks_folder).drop("batch")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
