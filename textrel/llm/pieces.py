@@ -1,11 +1,14 @@
-"""Oversized texts cut into overlapping pieces at natural boundaries, by ranges, without loading a whole text.
-
-A text is read as ranges of a fixed size. The worker of a range gets it with a halo on both sides: as much before it as
-two pieces share, and as much behind it as the longest piece has. In the halo it detects the same boundaries as its
-neighbours, so both sides of an edge agree on the anchor of a range: the best boundary within the first piece length
-behind its start. A range's worker cuts from its anchor to the next one. Ranges report their length and their number of
-pieces; running sums over this boundary table give the offsets and numbers of all pieces. No step holds more of a text
-than a range and its halos, and no step after the first depends on the one before within a text.
+"""Oversized texts cut into overlapping pieces at natural boundaries, by ranges, without loading a whole file.
+
+A text is read as ranges of a fixed size. A range comes with a halo on both sides: as much before it as two pieces share,
+and as much behind it as the longest piece has. In the halo the same boundaries are detected as by its neighbours, so both
+sides of an edge agree on the anchor of a range: the best boundary within the first piece length behind its start. A range
+is cut from its anchor to the next one (cut_range), which gives a row of the boundary table: the characters of the range and
+its pieces as offsets. Running sums over this table give the offsets and numbers of all pieces.
+
+Files: ranges are read and cut by any worker; the boundary table holds the byte offsets of the pieces, is written once, and the
+pieces are emitted by reading these bytes. Texts of a column are one value of one row, so their ranges are cut and summed
+where the row is (cut_text), with the same functions.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textrel.session import checkpointed
+
 #: Characters (bytes, for files) of a range.
 RANGE = 1 << 16
 #: Characters on both sides that decide whether there is a boundary.
@@ -27,8 +32,8 @@ _BOUNDARIES = re.compile(
     r"(?P<p>\n[^\S\n]*\n\s*)|(?P<l>\n\s*)|(?P<s>(?:[.!?…؟।](?:[\"”’»)\]]|(?<=[.!?…])[.!?…])*[^\S\n]+(?=[^\W\d_a-zà-ÿ]|[\"“„«¿¡(\[\d])|[。！？｡]+[”’」』）)]*))|(?P<c>[,;:،؛](?:[\"”’»])?[^\S\n]+|[，、；：])|(?P<w>[^\S\n]+)"
 )
 _LEVEL = {"p": 5, "l": 4, "s": 3, "c": 2, "w": 1}
-_KEYS = "_item string, _range long"
-_PIECES = f"{_KEYS}, _local int, _start long, _end long, _body long, _n int, _alone boolean, content string"
+#: Ranges of one file whose numbers are summed together.
+SPAN = 4096
 
 
 def boundaries(text: str) -> tuple[list[int], list[int]]:
@@ -59,13 +64,19 @@ def _best_end(at: list[int], levels: list[int], low: int, high: int, text: str)
 
 
 def cut(text: str, start: int, stop: int, longest: int, shared: int, first: bool, at: list[int], levels: list[int]) -> list[tuple[int, int]]:
-    """Pieces of text[start:stop] as (start, end). All but the very first of a text begin ``shared`` characters early."""
+    """Pieces of text[start:stop] as (start, end). All but the very first of a text begin ``shared`` characters early; the very first
+    is longer than that where the text is. The last piece adds at least a quarter of its room, if more than one is needed."""
     pieces = []
     i = start
     while i < stop or (first and not pieces):
-        early = 0 if first and not pieces else min(shared, i)
+        opening = first and not pieces
+        early = 0 if opening else min(shared, i)
         room = longest - early
-        end = stop if stop - i <= room else _best_end(at, levels, i, i + room, text)
+        if stop - i <= room:
+            end = stop
+        else:
+            high = min(i + room, max(i + 1, stop - room // 4))
+            end = _best_end(at, levels, min(i + shared, high - 1) if opening else i, high, text)
         pieces.append((i - early, end))
         i = end
         if start == stop:
@@ -97,116 +108,140 @@ def cut_range(text: str, body_at: int, body: int, longest: int, shared: int, is_
     return [(a - body_at, b - body_at) for a, b in cut(text, begin, stop, longest, shared, is_first, at, levels)] if begin < stop or is_first else []
 
 
-def _cut_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for item, no, text, body_at, body, longest, shared, last in b.itertuples(index=False):
-            pieces = cut_range(text, body_at, body, longest, shared, no == 0, bool(last))
-            for k, (i, j) in enumerate(pieces):
-                out.append((item, no, k, i, j, body, len(pieces), no == 0 and bool(last), text[max(0, body_at + i) : body_at + j]))
-            if not pieces:
-                out.append((item, no, -1, 0, 0, body, 0, False, None))
-        yield pd.DataFrame(out, columns=["_item", "_range", "_local", "_start", "_end", "_body", "_n", "_alone", "content"])
-
-
-def _stitch(cuts: DataFrame) -> DataFrame:
-    """Offsets and numbers of pieces within their text: _item, piece_no, start, end, content. Texts of one range need no stitching."""
-    alone = cuts.where("_alone").select("_item", F.col("_local").alias("piece_no"), F.col("_start").alias("start"), F.col("_end").alias("end"), "content")
-    cuts = cuts.where("NOT _alone")
-    table = cuts.where("_local <= 0").select("_item", "_range", "_body", "_n")
-    before = Window.partitionBy("_item").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = table.select("_item", "_range", F.coalesce(F.sum("_body").over(before), F.lit(0)).alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    stitched = cuts.where("_local >= 0").join(base, ["_item", "_range"])
-    return alone.unionByName(stitched.select("_item", (F.col("_first") + F.col("_local")).cast("int").alias("piece_no"), (F.col("_at") + F.col("_start")).alias("start"), (F.col("_at") + F.col("_end")).alias("end"), "content"))
-
-
-def text_ranges(df: DataFrame, item: str, column: str, size: int = RANGE) -> DataFrame:
-    """Boundary table of a text column: the columns of ``df`` but the text, and for each range range_no, range_chars and
-    chars_before (running sum); n_ranges and n_chars are the text's. A null or empty text has one range of 0 characters."""
-    n = F.coalesce(F.char_length(column), F.lit(0))
-    ranges = F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
-    rest = [c for c in df.columns if c != column]
-    rows = df.withColumn("n_ranges", ranges).withColumn("_len", F.transform(F.sequence(F.lit(0), F.col("n_ranges") - 1), lambda i: F.char_length(F.substring(F.coalesce(F.col(column), F.lit("")), i * size + 1, F.lit(size)))))
-    sums = F.transform(F.sequence(F.lit(0), F.col("n_ranges") - 1), lambda i: F.struct(i.alias("range_no"), F.get("_len", i).alias("range_chars"), F.aggregate(F.slice("_len", 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("chars_before")))
-    return rows.withColumn("n_chars", F.aggregate("_len", F.lit(0).cast("bigint"), lambda a, x: a + x)).select(*rest, "n_ranges", "n_chars", F.inline(sums))
-
-
-def oversized(df: DataFrame, item: str, column: str, limits: DataFrame, size: int = RANGE) -> DataFrame:
-    """The items longer than max_chars, from their stitched boundary tables: the columns of ``df`` but the text, n_chars, max_chars, overlap_chars.
-
-    ``limits`` is a small fixed table; its key columns are those it shares with ``df``.
-    """
-    keys = [c for c in limits.columns if c in df.columns]
-    table = text_ranges(df, item, column, size).where(F.col("range_no") == F.col("n_ranges") - 1)
-    total = table.withColumn("n_chars", F.col("chars_before") + F.col("range_chars")).drop("n_ranges", "range_no", "range_chars", "chars_before")
-    return total.join(F.broadcast(limits), keys).where(F.col("n_chars") > F.col("max_chars"))
+def cut_text(text: str, longest: int, shared: int, size: int = RANGE) -> tuple[int, list[tuple[int, int]]]:
+    """The characters of a text and its pieces as offsets: the stitched boundary table of its ranges."""
+    chars, pieces = 0, []
+    for no in range(max(1, -(-len(text) // size))):
+        begin = max(0, no * size - shared - MARGIN)
+        behind = min(len(text), (no + 1) * size)
+        body = behind - no * size
+        found = cut_range(text[begin : behind + longest + MARGIN], no * size - begin, body, longest, shared, no == 0, behind == len(text))
+        pieces += [(chars + a, chars + b) for a, b in found]
+        chars += body
+    return chars, pieces
 
 
-def split_texts(df: DataFrame, item: str, column: str, limits: DataFrame, size: int = RANGE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """All texts as pieces: item, the columns ``keep``, piece_no, start, end (code points, end exclusive), content.
+def split_texts(df: DataFrame, item: str, column: str, limits: DataFrame, size: int = RANGE, keep: tuple[str, ...] = (), content: bool = True) -> DataFrame:
+    """All texts as pieces: item, the columns ``keep``, n_chars (of the text), max_chars, piece_no, start, end (code points, end
+    exclusive) and, unless ``content`` is False, content.
 
-    ``item`` is a unique string key. ``limits`` (max_chars, overlap_chars by the columns it shares with ``df``) is a
-    small fixed table. Texts within their limit, and those without one, are one piece and never leave the JVM; a null
-    text is one piece with null content, an empty one a piece of length 0. A piece ends at the strongest boundary in the
-    second half of its room; where a text offers no boundary at all it is cut at the limit. Repeated items would mix up;
-    make the key unique first.
+    ``limits`` (max_chars, overlap_chars by the columns it shares with ``df``) is a small fixed table. The table is read
+    once and nothing is shuffled. Texts within their limit, and those without one, are one piece and never leave the JVM; a
+    null text is one piece with null content, an empty one a piece of length 0. A piece ends at the strongest boundary in the
+    second half of its room; where a text offers no boundary at all it is cut at the limit. Repeated rows give repeated pieces.
     """
+    piece = "struct<piece_no:int,start:bigint,end:bigint" + (",content:string>" if content else ">")
+
+    @F.pandas_udf(f"struct<n:bigint,pieces:array<{piece}>>")
+    def cuts(texts: pd.Series, longest: pd.Series, shared: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, m, s in zip(texts, longest, shared):
+            if t is None:
+                out.append((0, []))
+                continue
+            n, found = cut_text(t, int(m), int(s), size)
+            out.append((n, [{"piece_no": k, "start": a, "end": b} | ({"content": t[a:b]} if content else {}) for k, (a, b) in enumerate(found)]))
+        return pd.DataFrame(out, columns=["n", "pieces"])
+
     keys = [c for c in limits.columns if c in df.columns]
-    rows = df.join(F.broadcast(limits), keys, "left").select(F.col(item).alias("_item"), F.col(column).alias("_text"), F.coalesce(F.char_length(column), F.lit(0)).alias("_n"), "max_chars", "overlap_chars", *keep)
-    over = F.coalesce(F.col("_n") > F.col("max_chars"), F.lit(False))
-    whole = rows.where(~over).select("_item", *keep, F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("start"), F.col("_n").cast("bigint").alias("end"), F.col("_text").alias("content"))
-    left, right = F.col("overlap_chars") + MARGIN, F.col("max_chars") + MARGIN
-    last = F.floor((F.col("_n") - 1) / F.lit(size))
-    parts = rows.where(over).withColumn("_range", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    begin = F.greatest(F.lit(0), F.col("_range") * size - left)
-    ranged = parts.select(
-        "_item",
-        F.col("_range").cast("bigint").alias("_range"),
-        F.substring("_text", begin + 1, F.col("_range") * size - begin + size + right).alias("_text"),
-        (F.col("_range") * size - begin).alias("_body_at"),
-        F.least(F.lit(size), F.col("_n") - F.col("_range") * size).alias("_body"),
-        F.col("max_chars").alias("_max"),
-        F.col("overlap_chars").alias("_shared"),
-        (F.col("_range") == F.floor((F.col("_n") - 1) / F.lit(size))).alias("_last"),
-    )
-    cuts = ranged.mapInPandas(_cut_all, _PIECES)
-    pieces = _stitch(cuts)
-    if keep:
-        pieces = pieces.join(rows.where(over).select("_item", *keep), "_item")
-    return whole.unionByName(pieces.select(*whole.columns)).withColumnRenamed("_item", item)
+    names = list(dict.fromkeys([item, *keep]))
+    text, n = F.col("_text"), F.coalesce(F.char_length("_text"), F.lit(0)).cast("bigint")
+    rows = df.join(F.broadcast(limits), keys, "left").select(*names, F.col(column).alias("_text"), "max_chars", "overlap_chars")
+    over = F.coalesce(n > F.col("max_chars"), F.lit(False))
+    rows = rows.withColumn("_over", over).withColumn("_cuts", cuts(F.when(F.col("_over"), text), F.coalesce("max_chars", F.lit(1)), F.coalesce("overlap_chars", F.lit(0))))
+    whole = F.array(F.struct(F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("start"), n.alias("end"), *([text.alias("content")] if content else [])))
+    pieces = F.when(F.col("_over"), F.col("_cuts.pieces")).otherwise(whole.cast(f"array<{piece}>"))
+    return rows.select(*names, F.when(F.col("_over"), F.col("_cuts.n")).otherwise(n).alias("n_chars"), "max_chars", F.inline(pieces))
 
 
-def split_files(spark: SparkSession, path: str, max_chars: int, overlap_chars: int, size: int = RANGE) -> DataFrame:
-    """Pieces of UTF-8 files (a path or pattern on a file system the executors share): path, piece_no, start, end, content.
+def _opened(path: str):
+    """(file system, path) of a file name as Spark gives it. Any store that Arrow knows can be read by ranges."""
+    from pyarrow import fs
 
-    Files are listed with their sizes, not read; each worker reads the bytes of its range and halos only. A range begins
-    at the first whole character at or behind its first byte; broken bytes become replacement characters. Empty files
-    give no piece (the file source leaves them out).
-    """
+    uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]://", "s3://", path))
+    return fs.FileSystem.from_uri(uri)
+
+
+def _aligned(data: bytes, i: int) -> int:
+    """The first place at or behind ``i`` that is no continuation of a UTF-8 character (of at most four bytes)."""
+    i = min(max(i, 0), len(data))
+    for k in range(4):
+        if i + k >= len(data) or data[i + k] & 0xC0 != 0x80:
+            return min(i + k, len(data))
+    return i
+
+
+_BOUNDARY_TABLE = "path string, range_no long, chars long, pieces array<struct<from_byte:bigint,to_byte:bigint,from_char:bigint,to_char:bigint>>"
+
+
+def boundary_table(files: DataFrame, max_chars: int, overlap_chars: int, size: int = RANGE) -> DataFrame:
+    """The cut ranges of files (path, length): path, range_no, chars (of the range), pieces (bytes of the file, characters from the
+    range's start). Each range is read with its halos only. Broken bytes are a character each."""
     _check(max_chars, overlap_chars)
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_item"), F.col("length").alias("_length"))
-    last = F.greatest(F.lit(0), F.floor((F.col("_length") - 1) / F.lit(size)))
-    ranges = files.withColumn("_range", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))).repartition("_item", "_range")
+    last = F.greatest(F.lit(0), F.floor((F.col("length") - 1) / F.lit(size)))
+    ranges = files.withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))).repartition("path", "range_no")
     left, right = 4 * (overlap_chars + MARGIN), 4 * (max_chars + MARGIN)
 
-    def whole_from(data: bytes, i: int) -> int:
-        while i < len(data) and data[i] & 0xC0 == 0x80:
-            i += 1
-        return min(i, len(data))
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for item, length, no in b[["_item", "_length", "_range"]].itertuples(index=False):
-                with open(re.sub(r"^file:/*", "/", item), "rb") as f:
-                    begin = max(0, no * size - left)
+            for path, length, no in b[["path", "length", "range_no"]].itertuples(index=False):
+                store, name = _opened(path)
+                begin = max(0, no * size - left)
+                with store.open_input_file(name) as f:
                     f.seek(begin)
                     data = f.read(no * size - begin + size + right)
-                a, z = whole_from(data, no * size - begin), whole_from(data, min(len(data), no * size - begin + size))
-                before = data[whole_from(data, 0) : a].decode("utf-8", "replace")
-                body = data[a:z].decode("utf-8", "replace")
-                behind = data[z:].decode("utf-8", "ignore")
-                out.append((item, no, before + body + behind, len(before), len(body), max_chars, overlap_chars, (no + 1) * size >= length))
-            yield from _cut_all(iter([pd.DataFrame(out)]))
-
-    return _stitch(ranges.mapInPandas(read, _PIECES)).withColumnRenamed("_item", "path")
+                front = _aligned(data, 0) if begin else 0
+                a, z = (_aligned(data, no * size - begin) if no else 0), _aligned(data, no * size - begin + size)
+                before, body, behind = (x.decode("utf-8", "surrogateescape") for x in (data[front:a], data[a:z], data[z:]))
+                text = before + body + behind
+                pieces, byte, char = [], begin + front, 0
+                at: dict[int, int] = {}
+                found = cut_range(text, len(before), len(body), max_chars, overlap_chars, no == 0, (no + 1) * size >= length)
+                for place in sorted({len(before) + x for p in found for x in p}):
+                    byte, char = byte + len(text[char:place].encode("utf-8", "surrogateescape")), place
+                    at[place] = byte
+                pieces = [{"from_byte": at[len(before) + i], "to_byte": at[len(before) + j], "from_char": i, "to_char": j} for i, j in found]
+                out.append((path, no, len(body), pieces))
+            yield pd.DataFrame(out, columns=["path", "range_no", "chars", "pieces"])
+
+    return ranges.mapInPandas(detect, _BOUNDARY_TABLE)
+
+
+def stitched(table: DataFrame) -> DataFrame:
+    """A boundary table with char_at and piece_at of each range: the characters and pieces before it in its file. Sums are taken
+    within spans of SPAN ranges, then over the spans, so no task holds all ranges of a giant file."""
+    spans = table.withColumn("_span", F.floor(F.col("range_no") / F.lit(SPAN))).withColumn("_n", F.size("pieces"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = spans.groupBy("path", "_span").agg(F.sum("chars").alias("_c"), F.sum("_n").alias("_p"))
+    over = before("path").orderBy("_span")
+    base = sums.select("path", "_span", F.coalesce(F.sum("_c").over(over), F.lit(0)).alias("_c0"), F.coalesce(F.sum("_p").over(over), F.lit(0)).alias("_p0"))
+    within = before("path", "_span").orderBy("range_no")
+    return spans.join(base, ["path", "_span"]).select("path", "range_no", "chars", "pieces", (F.col("_c0") + F.coalesce(F.sum("chars").over(within), F.lit(0))).alias("char_at"), (F.col("_p0") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("piece_at"))
+
+
+def split_files(spark: SparkSession, path: str, max_chars: int, overlap_chars: int, size: int = RANGE) -> DataFrame:
+    """Pieces of UTF-8 files (a path or pattern on a store that all executors reach): path, piece_no, start, end, content.
+
+    Files are listed with their sizes, not read; their boundary table is written to the checkpoint folder; each piece is then
+    read by its bytes. A range begins at the first whole character at or behind its first byte; broken bytes count as a
+    character each and become replacement characters. Empty files give no piece (the file source leaves them out).
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    table = stitched(checkpointed(boundary_table(files, max_chars, overlap_chars, size))).where(F.size("pieces") > 0)
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, pieces, char_at, piece_at in b[["path", "pieces", "char_at", "piece_at"]].itertuples(index=False):
+                store, local = _opened(name)
+                first, last = min(p["from_byte"] for p in pieces), max(p["to_byte"] for p in pieces)
+                with store.open_input_file(local) as f:
+                    f.seek(first)
+                    data = f.read(last - first)
+                for k, p in enumerate(pieces):
+                    text = data[p["from_byte"] - first : p["to_byte"] - first].decode("utf-8", "surrogateescape")
+                    out.append((name, piece_at + k, char_at + p["from_char"], char_at + p["to_char"], re.sub("[\ud800-\udfff]", "\ufffd", text)))
+            yield pd.DataFrame(out, columns=["path", "piece_no", "start", "end", "content"])
+
+    return table.mapInPandas(emit, "path string, piece_no long, start long, end long, content string")

@@ -11,7 +11,7 @@ from textrel.functions.text import is_missing, match_key
 from textrel.llm.garbled import find_garbled, pair_counts
 from textrel.llm.mixing import mix_sources
 from textrel.llm.packing import fill_report, pack_documents
-from textrel.llm.pieces import oversized, split_texts
+from textrel.llm.pieces import split_texts
 from textrel.llm.sentences import learn, sentence_units
 from textrel.llm.survivors import sortable, surviving_values, tokens_of
 from textrel.llm.tokens import token_count
@@ -60,8 +60,10 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT chunk_id FROM raw_chunks JOIN chunk_limits ON table_name = split_part(doc_id, '/', 1) WHERE length(content) > max_chars""")
 def p4_found(spark, folder):
+    """Texts that their boundary tables show to be too long."""
     rows = _chunks(spark, folder).select("chunk_id", "table_name", "content")
-    return oversized(rows, "chunk_id", "content", table(spark, folder, "chunk_limits")).select("chunk_id")
+    pieces = split_texts(rows, "chunk_id", "content", table(spark, folder, "chunk_limits"), content=False)
+    return pieces.where("piece_no = 0 AND n_chars > max_chars").select("chunk_id")
 
 
 @query()
@@ -72,6 +74,22 @@ def p4_pieces(spark, folder):
     return pieces.select("chunk_id", "doc_id", (F.col("old_index").cast("bigint") * (1 << 20) + F.col("piece_no")).alias("chunk_index"), "piece_no", "start", "end", "content")
 
 
+@query("""WITH c AS (SELECT chunk_id, doc_id, content, coalesce(length(content), 0) AS n, max_chars FROM raw_chunks LEFT JOIN chunk_limits ON table_name = split_part(doc_id, '/', 1))
+SELECT chunk_id, CAST(n AS BIGINT) AS n_chars, true AS covered, n > max_chars AS is_split, true AS within_limit, true AS overlaps, content AS rejoined FROM c""")
+def p4_rejoined(spark, folder):
+    """Each chunk put together again from its pieces, and whether they cover it, keep to the limit, and share what they should."""
+    limits = table(spark, folder, "chunk_limits")
+    pieces = split_texts(_chunks(spark, folder).select("chunk_id", "table_name", "content"), "chunk_id", "content", limits, keep=("table_name",)).join(F.broadcast(limits.select("table_name", "overlap_chars")), "table_name", "left")
+    each = F.struct("piece_no", "start", "end", "content")
+    p = F.array_sort(F.collect_list(each))
+    one = pieces.groupBy("chunk_id", "n_chars", "max_chars", "overlap_chars").agg(p.alias("p"))  # the pieces of one chunk
+    steps = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.get("p", i - 1).end - F.get("p", i).start)
+    seams = F.when(F.size("p") > 1, steps).otherwise(F.array().cast("array<bigint>"))
+    fresh = F.transform("p", lambda x, i: F.when(i == 0, x.content).otherwise(F.substr(x.content, (F.get("p", i - 1).end - x.start + 1).cast("int"))))
+    covered = (F.get("p", 0).start == 0) & (F.element_at("p", -1).end == F.col("n_chars")) & F.forall(seams, lambda s: s >= 0)
+    return one.select("chunk_id", "n_chars", covered.alias("covered"), (F.size("p") > 1).alias("is_split"), F.forall("p", lambda x: F.coalesce(F.char_length(x.content), F.lit(0)) <= F.greatest("max_chars", F.lit(0))).alias("within_limit"), F.forall(seams, lambda s: s == F.col("overlap_chars")).alias("overlaps"), F.when(F.get("p", 0).content.isNotNull(), F.array_join(fresh, "")).alias("rejoined"))
+
+
 def _variants(spark: SparkSession, folder: str) -> DataFrame:
     return variant_groups_of({t: table(spark, folder, t) for t in ("player", "owner", "team")})
 
