@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from textrel.llm.garbled import PairModel, find_garbled, has_lost_marks, maximal_segments, pair_counts, repair_text, _codes
+from textrel.llm.garbled import PairModel, find_garbled, find_lost_marks, has_lost_marks, maximal_segments, pair_counts, repair_text, _codes
 
 CLEAN = ["Jérôme Müller joined São Paulo. Šarūnas Žukauskas ate naïve crème brûlée, wasn’t it – “fine”?", "Тренер сказал: мы победили. Ο σύλλογος ιδρύθηκε. 球队成立于一九八四年；主场位于河边。", "İşıl Çağlar Göktürk, Đorđe Petrović, André Gonçalves, Günther Größe, Élodie Rousseau"] * 60
 
@@ -60,7 +60,7 @@ def test_lost(model, spark):
     assert has_lost_marks("Lorvabi?u", False) and has_lost_marks("?ar?nas", True) and has_lost_marks("Fennekovi?", True)
     assert not has_lost_marks("III (?)", True) and not has_lost_marks("Who else?Nobody", False) and not has_lost_marks("Why? because", False)
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Bo�ko"), (4, "MÃ¼ller"), (5, "Müller"), (4, "MÃ¼ller"), (6, "x" * 50_000 + " MÃ¼ller")], "id int, v string")
-    got = sorted((r.id, r.restored and r.restored[-6:]) for r in find_garbled(df, "v", model, names=True).collect())
+    got = sorted((r.id, r.restored and r.restored[-6:]) for r in find_garbled(df, "v", model).collect())
     assert got == [(3, None), (4, "Müller"), (4, "Müller"), (6, "Müller")]
     with pytest.raises(ValueError):
         find_garbled(df.withColumnRenamed("id", "restored"), "v", model)
@@ -69,8 +69,34 @@ def test_lost(model, spark):
 def test_lost_at_edges_and_in_passages(model, spark):
     lost = ["?? ?????? ?????? 22,582 ??????? ????? ?????.", "????1961??????????????6,749????????1980?????", "After the series, ?yvind Kermedahl won", "moved Aleksandar Cormikovi? to No. 8", "outside the U.S. ?5???1.9 m", "?yvind won"]
     kept = ["Really?? Yes.", "What a game!?? No", "Why? because", "Who else?Nobody", "?Nobody", "Who would replace Luís? Đorđe", "In 2017? No.", "He asked: who? and left", "Quoi ?? Non", "(?)"]
-    df = spark.createDataFrame(list(enumerate(lost + kept)), "id int, v string")
-    assert sorted(r.id for r in find_garbled(df, "v", model).where("restored IS NULL").collect()) == list(range(len(lost)))
+    df = spark.createDataFrame(list(enumerate([*lost, *kept, None, ""])), "id int, v string")
+    assert sorted(r.id for r in find_lost_marks(df, "v").collect()) == list(range(len(lost)))
+    assert find_garbled(df, "v", model).count() == 0
+
+
+def test_planted_damage(spark, data):
+    """Sentences of clean documents, every other one damaged by a random wrong decoding."""
+    rng = random.Random(11)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = pair_counts(docs, "text")
+    texts = [t for (d,) in docs.select("text").collect() for t in (d or "").split("\n") if 20 < len(t) < 200 and sum(c > "\x7f" for c in t) > 2]
+    rng.shuffle(texts)
+    rows, damaged = [], set()
+    for i, t in enumerate(texts[:1200]):
+        if i % 2:
+            encoding = rng.choice(["cp1252", "latin-1", "mac_roman", "cp1251", "cp437"])
+            bad = t.encode().decode(encoding, "replace")
+            if bad == t:
+                continue
+            damaged.add(i)
+            rows.append((i, bad, t))
+        else:
+            rows.append((i, t, t))
+    found = {r.id: r.restored for r in find_garbled(spark.createDataFrame(rows, "id int, v string, truth string"), "v", model).collect()}
+    hits = damaged & set(found)
+    assert len(hits) >= 0.97 * len(damaged) and len(hits) >= 0.97 * len(found)
+    truth = {i: t for i, _, t in rows}
+    assert all(found[i] in (truth[i], None) for i in hits if found[i]) or sum(found[i] == truth[i] for i in hits if found[i]) >= 0.97 * sum(found[i] is not None for i in hits)
 
 
 def test_segments_against_brute_force():

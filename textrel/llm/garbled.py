@@ -9,9 +9,10 @@
    again for text garbled twice and for garbled text that changed its letter case since; or, where one single-byte
    encoding was taken for another, decoded with that other one. A mapping is accepted if it raises the information of the pairs by
    MIN_GAIN (MIN_GAIN_SINGLE for the second kind).
-4. Replacement characters and C1 controls in a run are damage in any case; what they stood for cannot be known. So are
-   question marks inside a word (for names: at its edge too), at the edge of a word where no question can end, and in place
-   of whole passages, which no clean text has.
+4. Replacement characters and C1 controls in a run are damage in any case; what they stood for cannot be known.
+
+Letters that became question marks were lost when text was encoded for a set that lacks them, not by decoding; find_lost_marks
+reports those on their own.
 
 The reference should be clean; pairs inside damage would support each other otherwise. The tables sent to the workers
 are 2**PAIR_BITS + 2**CHAR_BITS numbers, whatever the size of the corpus.
@@ -345,11 +346,9 @@ def has_lost_marks(text: str, names: bool) -> bool:
     return any(m.group(1).isupper() and re.search(r"[^\W\d_],?[ \t]$", text[max(0, m.start() - 3) : m.start()]) for m in _MARK_BEFORE_WORD.finditer(text))
 
 
-def find_garbled(df: DataFrame, column: str, model: PairModel, names: bool = False) -> DataFrame:
+def find_garbled(df: DataFrame, column: str, model: PairModel) -> DataFrame:
     """The damaged rows of ``df``: its columns plus restored (null unless all damage could be undone), partly_restored, encodings.
 
-    ``names`` tells that the texts are names, in which a question mark next to a letter is a lost letter too.
-
     Null and empty texts are never damaged. Repeated rows stay repeated. Every character of a text of any length is
     looked at. Columns of ``df`` with the names of the result columns raise ValueError.
     """
@@ -371,10 +370,6 @@ def find_garbled(df: DataFrame, column: str, model: PairModel, names: bool = Fal
                 bounds = np.cumsum([0] + [len(t) + 1 for t in part])
                 bad = np.nonzero(information < CUT)[0]
                 lost = np.nonzero((codes == 0xFFFD) | ((codes >= 0x80) & (codes < 0xA0)))[0]
-                asked = np.nonzero(codes == 63)[0]
-                for k in np.unique(np.searchsorted(bounds, asked, side="right") - 1):
-                    if has_lost_marks(part[k], names):
-                        out[first + k] = (None, part[k], [])
                 for k in np.unique(np.searchsorted(bounds, np.concatenate((bad, lost)), side="right") - 1):
                     t = part[k]
                     if len(t) < 2:
@@ -382,9 +377,19 @@ def find_garbled(df: DataFrame, column: str, model: PairModel, names: bool = Fal
                     else:
                         fixed = repair_text(t, information[bounds[k] : bounds[k + 1] - 2], m, cache)
                     if fixed:
-                        out[first + k] = (fixed[0] if fixed[1] and not has_lost_marks(fixed[0], names) else None, fixed[0], fixed[2])
+                        out[first + k] = (fixed[0] if fixed[1] and not has_lost_marks(fixed[0], False) else None, fixed[0], fixed[2])
             yield pd.DataFrame(out, columns=["restored", "partly_restored", "encodings"], index=s.index)
 
     # Other texts hold nothing to restore and stay in the JVM.
-    rows = df.where(F.col(column).rlike(r"[^\x00-\x7f]|\?" if names else r"[^\x00-\x7f]|" + _MARKS_JVM)).withColumn("_fix", fix(F.col(column)))
+    rows = df.where(F.col(column).rlike(r"[^\x00-\x7f]")).withColumn("_fix", fix(F.col(column)))
     return rows.where(F.col("_fix.partly_restored").isNotNull()).select(*df.columns, "_fix.restored", "_fix.partly_restored", "_fix.encodings")
+
+
+def find_lost_marks(df: DataFrame, column: str, names: bool = False) -> DataFrame:
+    """The rows of ``df`` in which question marks stand for letters (has_lost_marks). Null and empty texts have none."""
+
+    @F.pandas_udf("boolean")
+    def lost(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: has_lost_marks(t, names))
+
+    return df.where(F.col(column).rlike(r"\?" if names else _MARKS_JVM)).where(lost(F.col(column)))

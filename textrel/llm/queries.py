@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrel.functions.text import is_missing, match_key
-from textrel.llm.garbled import find_garbled, pair_counts
+from textrel.llm.garbled import find_garbled, find_lost_marks, pair_counts
 from textrel.llm.mixing import mix_sources
 from textrel.llm.packing import fill_report, pack_documents
 from textrel.llm.pieces import split_texts
@@ -35,12 +35,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _names_and_chunks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    player = table(spark, folder, "player").select(F.lit("player").alias("table_name"), F.col("id").cast("string").alias("record_key"), F.inline(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("name", "college")])))
+    chunks = table(spark, folder, "raw_chunks").select(F.lit("raw_chunks").alias("table_name"), F.col("chunk_id").alias("record_key"), F.lit("content").alias("field_name"), F.col("content").alias("value"))
+    return player, chunks
+
+
 def _garbled(spark: SparkSession, folder: str) -> DataFrame:
     """Damaged values of players' names and colleges and of chunks, against the pairs of all documents."""
     model = pair_counts(table(spark, folder, "documents"), "text")
-    player = table(spark, folder, "player").select(F.lit("player").alias("table_name"), F.col("id").cast("string").alias("record_key"), F.inline(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("name", "college")])))
-    chunks = table(spark, folder, "raw_chunks").select(F.lit("raw_chunks").alias("table_name"), F.col("chunk_id").alias("record_key"), F.lit("content").alias("field_name"), F.col("content").alias("value"))
-    return find_garbled(player, "value", model, names=True).unionByName(find_garbled(chunks, "value", model))
+    player, chunks = _names_and_chunks(spark, folder)
+    return find_garbled(player.unionByName(chunks), "value", model)
 
 
 @query()
@@ -54,6 +59,14 @@ def p1_restored(spark, folder):
     return _garbled(spark, folder).select("table_name", "record_key", "field_name", "restored", "partly_restored", "encodings")
 
 
+@query()
+def p1_lost_marks(spark, folder):
+    """Values in which question marks stand for letters that an encoding lacked: a loss of another kind than p1_found's."""
+    player, chunks = _names_and_chunks(spark, folder)
+    found = find_lost_marks(player, "value", names=True).unionByName(find_lost_marks(chunks, "value"))
+    return found.select("table_name", "record_key", "field_name").distinct()
+
+
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "raw_chunks").withColumn("table_name", F.split_part("doc_id", F.lit("/"), F.lit(1)))
 
