@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textrel.functions.text import is_missing, match_key
 from textrel.llm.garbled import find_garbled, find_lost_marks, pair_counts
-from textrel.llm.mixing import mix_sources
+from textrel.llm.mixing import Source, mix_sources, water_fill
 from textrel.llm.packing import fill_report, pack_documents
 from textrel.llm.pieces import split_texts
 from textrel.llm.sentences import learn, sentence_units
@@ -122,7 +122,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all results in which an entity is named, one row each, with the priority of their result."""
     trust = F.broadcast(table(spark, folder, "extractor_trust"))  # a fixed table
     results = table(spark, folder, "extraction_result").join(trust, "extractor", "left")
-    r = results.select("result_id", "table_name", "chunk_id", sortable(-F.col("trust_rank"), F.unix_micros("extracted_at"), F.col("result_id")).alias("priority"), F.explode("records").alias("record"))
+    r = results.select("result_id", "table_name", "chunk_id", (-F.col("trust_rank")).alias("tier"), sortable(-F.col("trust_rank"), F.unix_micros("extracted_at"), F.col("result_id")).alias("priority"), F.explode("records").alias("record"))
     name = F.when(F.col("table_name") == "team", F.try_element_at("record", F.lit("team_name"))).otherwise(F.try_element_at("record", F.lit("name")))
     return r.where(F.col("record").isNotNull()).withColumn("_name", name).where(~is_missing(F.col("_name"))).select("*", match_key(F.col("_name")).alias("entity_key")).drop("_name")
 
@@ -132,12 +132,15 @@ def _survivors(spark: SparkSession, folder: str, rule: str) -> DataFrame:
     entity = ["table_name", "entity_key"]
     several = records.groupBy(*entity).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     records = salted_join(records, several, entity, ["result_id"])
-    fields = records.select(*entity, F.col("result_id").cast("string").alias("winner_id"), "priority", F.explode("record").alias("field_name", "value")).where((F.col("field_name") != "row_id") & ~is_missing(F.col("value")))
-    fields = fields.select(*entity, "field_name", "value", tokens_of(F.col("value")).alias("tokens"), "priority", F.lit(1.0).alias("weight"), "winner_id")
+    fields = records.select(*entity, F.col("result_id").cast("string").alias("winner_id"), "priority", "tier", F.explode("record").alias("field_name", "value")).where((F.col("field_name") != "row_id") & ~is_missing(F.col("value")))
+    fields = fields.select(*entity, "field_name", "value", tokens_of(F.col("value")).alias("tokens"), "priority", F.lit(1.0).alias("weight"), "winner_id", "tier")
     rows = records.select(*entity, F.try_element_at("record", F.lit("row_id")).alias("row_id")).where(~is_missing(F.col("row_id"))).distinct()
     ids = F.array_sort(F.array_distinct(F.filter("chunk_ids", lambda x: x.isNotNull() & (F.trim(x) != ""))))
     proved = table(spark, folder, "row_provenance").select("row_id", F.coalesce(ids, F.array().cast("array<string>")).alias("tokens"), F.unix_micros("created_at").alias("made"))
-    lists = rows.join(proved, "row_id").select(*entity, F.lit("chunk_ids").alias("field_name"), F.array_join("tokens", " ").alias("value"), "tokens", F.concat(sortable(F.size("tokens"), F.col("made")), "row_id").alias("priority"), F.size("tokens").cast("double").alias("weight"), F.col("row_id").alias("winner_id"))
+    size = F.size("tokens")
+    lists = rows.join(proved, "row_id").select(*entity, F.lit("chunk_ids").alias("field_name"), F.array_join("tokens", " ").alias("value"), "tokens", F.concat(sortable(size, F.col("made")), "row_id").alias("priority"), size.cast("double").alias("weight"), F.col("row_id").alias("winner_id"), size.alias("tier"))
+    if rule == "votes":  # every record has a say, however far it is trusted
+        fields, lists = fields.drop("tier"), lists.drop("tier")
     return surviving_values(fields.unionByName(lists), [*entity, "field_name"], rule)
 
 
@@ -187,34 +190,50 @@ def p8_fill(spark, folder):
     return fill_report(pack_documents(_sizes(spark, folder).drop("source"), specs), specs)
 
 
+def _mix_of_budget(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    sizes = checkpointed(_sizes(spark, folder))
+    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    return mix_sources(sizes, table(spark, folder, "mix_targets"), float(total))
+
+
 @query()
 def p9_mix(spark, folder):
-    """The documents to draw, with repeats, for the largest mixture that has the target shares exactly."""
-    return mix_sources(_sizes(spark, folder), table(spark, folder, "mix_targets"))[0]
+    """The documents to draw, with repeats, for as many tokens as all documents have: sources that cannot give their share within
+    their caps give all they can, and the others take over what is lacking in proportion."""
+    return _mix_of_budget(spark, folder)[0]
 
 
 @query()
 def p9_shares(spark, folder):
     """Shares reached by that mixture."""
-    return mix_sources(_sizes(spark, folder), table(spark, folder, "mix_targets"))[1]
+    return _mix_of_budget(spark, folder)[1]
 
 
-def _mix_of_budget(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    sizes = checkpointed(_sizes(spark, folder))
-    total = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    return mix_sources(sizes, table(spark, folder, "mix_targets"), float(total))
+@query()
+def p9_mix_exact(spark, folder):
+    """The documents to draw for the largest mixture in which no cap keeps a source from its exact share."""
+    return mix_sources(_sizes(spark, folder), table(spark, folder, "mix_targets"))[0]
 
 
 @query()
-def p9_shares_of_budget(spark, folder):
-    """Shares reached for as many tokens as all documents have, which small sources cannot give within their caps."""
-    return _mix_of_budget(spark, folder)[1]
+def p9_shares_exact(spark, folder):
+    """Shares reached by that mixture."""
+    return mix_sources(_sizes(spark, folder), table(spark, folder, "mix_targets"))[1]
 
 
-@query()
-def p9_mix_of_budget(spark, folder):
-    """The documents to draw for that budget: sources at their caps in full, their shortfall spread over the others."""
-    return _mix_of_budget(spark, folder)[0]
+@query("""WITH s AS (SELECT source, target_share AS w, CAST(max_repeats AS DOUBLE) * coalesce(n, 0) AS room FROM mix_targets LEFT JOIN (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1) USING (source)),
+t AS (SELECT CAST(sum(length(text)) AS DOUBLE) AS total FROM documents), a AS (SELECT *, row_number() OVER (ORDER BY room / w, source) AS k FROM s WHERE w > 0 AND room > 0),
+c AS (SELECT a.*, coalesce(sum(room) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(w) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM a),
+l AS (SELECT min((total - used) / open) AS level FROM c, t WHERE (total - used) / open <= room / w)
+SELECT source, round(CASE WHEN w > 0 AND room > 0 THEN least(room, coalesce((SELECT level FROM l), 1e300) * w) ELSE 0 END, 2) AS allotted FROM s""")
+def p9_allotted(spark, folder):
+    """Characters allotted to each source when as many are wanted as all documents have (the level to which all open sources fill up,
+    found by SQL from the sources in order of their room)."""
+    chars = table(spark, folder, "documents").select(F.lower(F.trim("source")).alias("source"), F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n"))
+    total = chars.agg(F.sum("n")).first()[0] or 0
+    sums = {r["source"]: r["n"] for r in chars.join(F.broadcast(table(spark, folder, "mix_targets").select("source")), "source").groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row per target
+    sources = [Source(r["source"], r["target_share"], sums.get(r["source"], 0), r["max_repeats"]) for r in table(spark, folder, "mix_targets").collect()]
+    return spark.createDataFrame([(n, round(x, 2)) for n, x in water_fill(sources, float(total)).items()], "source string, allotted double")
 
 
 @query()
