@@ -224,7 +224,7 @@ def p9_shares_exact(spark, folder):
 @query("""WITH s AS (SELECT source, target_share AS w, CAST(max_repeats AS DOUBLE) * coalesce(n, 0) AS room FROM mix_targets LEFT JOIN (SELECT lower(trim(source)) AS source, sum(length(text)) AS n FROM documents GROUP BY 1) USING (source)),
 t AS (SELECT CAST(sum(length(text)) AS DOUBLE) AS total FROM documents), a AS (SELECT *, row_number() OVER (ORDER BY room / w, source) AS k FROM s WHERE w > 0 AND room > 0),
 c AS (SELECT a.*, coalesce(sum(room) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(w) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM a),
-l AS (SELECT min((total - used) / open) AS level FROM c, t WHERE (total - used) / open <= room / w)
+l AS (SELECT (total - used) / open AS level FROM c, t WHERE (total - used) / open <= room / w ORDER BY k LIMIT 1)
 SELECT source, round(CASE WHEN w > 0 AND room > 0 THEN least(room, coalesce((SELECT level FROM l), 1e300) * w) ELSE 0 END, 2) AS allotted FROM s""")
 def p9_allotted(spark, folder):
     """Characters allotted to each source when as many are wanted as all documents have (the level to which all open sources fill up,
