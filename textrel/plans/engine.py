@@ -163,6 +163,7 @@ class Engine:
         """Take over tables: their columns are FULL, but for those with a ``scope``, whose rows are there only for its predicates."""
         for t, df in tables.items():
             self.tables[t.lower()] = df
+            self._forget_maps(t.lower())
             for c in df.columns:
                 asked = (scope or {}).get((t.lower(), c.lower()))
                 self.registry.mark(t.lower(), c.lower(), "FULL" if asked is None else "PARTIAL", asked or frozenset())
@@ -333,6 +334,7 @@ class Engine:
             self.tables[t] = self._keep(f"tables/{t}", upsert_salted(evolve(self.tables[t], {c: "string" for c in able}), values, "row_id"))
             for c in able:
                 self.registry.mark(t, c, "FULL")
+            self._forget_maps(t)
             changed = True
         for t in sorted({x.table for x in plan.missing_predicates}):
             if t in self.tables and t in self.extractors and "row_id" in self.tables[t].columns:
@@ -367,6 +369,7 @@ class Engine:
         kinds = dict(old.dtypes)
         rows = rows.select("row_id", *[F.col(c).try_cast(kinds[c]).alias(c) for c in names])
         fresh = rows.join(old.select("row_id"), "row_id", "left_anti")
+        self._forget_maps(t)
         self.tables[t] = self._keep(f"tables/{t}", upsert_salted(old, rows, "row_id").unionByName(fresh.select(*old.columns)))
         for x in asked:
             self.registry.mark(t, x.column, "PARTIAL", frozenset([x]))
@@ -382,7 +385,7 @@ class Engine:
         mapping = alignment_map(tables[lt], lc, tables[rt], rc)
         if self.similar_keys:
             mapping = mapping.unionByName(similar_alignment_map(tables[lt], lc, tables[rt], rc))
-        return mapping
+        return checkpointed(mapping)  # read for both sides; a row per spelling that changes
 
     def align(self, joins: tuple) -> dict[str, DataFrame]:
         """The tables with join keys rewritten to one spelling: first where only letter case, punctuation or blanks differ, then, for
@@ -395,6 +398,9 @@ class Engine:
                 out[lt], out[rt] = apply_map(out[lt], lc, mapping), apply_map(out[rt], rc, mapping)
         return out
 
+    def _forget_maps(self, t: str) -> None:
+        self.maps = {k: m for k, m in self.maps.items() if t not in (k[0][0], k[1][0])}
+
     def align_workload(self) -> int:
         """Store the key maps of all join pairs of the workload (a pair and its reverse once), so that queries need not make them. How
         many there are."""
@@ -402,7 +408,7 @@ class Engine:
             if (left, right) not in self.maps and (right, left) not in self.maps:
                 mapping = self._key_map(left, right, self.tables)
                 if mapping is not None:
-                    self.maps[left, right] = self.maps[right, left] = checkpointed(mapping)
+                    self.maps[left, right] = self.maps[right, left] = mapping
         return len(self.maps) // 2
 
     def query(self, sql: str) -> Answer:
