@@ -189,3 +189,12 @@ def test_hot_keys_are_split(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(sizes) >= 2 and max(sizes) <= 6000 / 4 * 1.5
+
+
+def test_components_of_chains_and_hubs(spark):
+    from textrel.operators.components import components
+
+    links = [(i, i + 1) for i in range(100, 160)] + [(1, n) for n in range(1000, 3000)] + [(5, 5), (7, 8), (8, 7), (7, 8)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {n: 1 for n in (1, *range(1000, 3000))} | {5: 5, 7: 7, 8: 7}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
