@@ -71,3 +71,15 @@ def test_units_table(spark, cut):
     df = spark.createDataFrame([(1, "He left. She stayed."), (2, None), (3, ""), (1, "He left. She stayed."), (4, "y" * 60_000)], "doc_id bigint, text string")
     got = sorted((r.doc_id, r.sent_no, r.sent_start, r.sent_end) for r in sentence_units(df, model).collect())
     assert got == [(1, 1, 0, 8)] * 2 + [(1, 2, 9, 20)] * 2 + [(4, 1, 0, 60_000)]
+
+
+def test_collocations_by_log_likelihood(spark):
+    """A type that often ends sentences does not before a word that belongs to it; a name that begins sentences elsewhere is no such word."""
+    names = ["He", "She", "They", "Nobody"]
+    texts = [f"{a} never left the U.S. {b} stayed at home. {a} was glad. {b} slept." for a in names for b in names for _ in range(8)]
+    texts += [f"{a} won the U.S. Open with ease. {a} left." for a in names for _ in range(12)] + [f"{a} came back to the U.S. Walter waited there. Walter slept. Walter stayed." for a in names for _ in range(3)]
+    model = learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    cut = lambda text: [text[a:b] for a, b in Segmenter(model).spans(text)]
+    assert ("", "u.s", "Open") in model.collocations and not {("", "u.s", w) for w in (*names, "Walter")} & model.collocations
+    assert cut("Ann won the U.S. Open again. She left.") == ["Ann won the U.S. Open again.", "She left."]
+    assert cut("Ann never left the U.S. Walter waited. She left.") == ["Ann never left the U.S.", "Walter waited.", "She left."]

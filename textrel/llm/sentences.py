@@ -5,8 +5,11 @@ Learning (unsupervised, per language, over all documents; after Kiss and Strunk,
   weighed by length and inner periods;
 - sentence starters: words that follow a sentence end far more often than chance (log-likelihood ratio) and are rare
   elsewhere in that letter case;
-- collocations: for each abbreviation, initial or number type, the words behind its period; the share of sentence
-  starters among them, against the share behind ordinary words, tells whether that type also ends sentences;
+- collocations: words that follow the period of an abbreviation, initial or number type more often than other periods,
+  by the same log-likelihood ratio, and hardly ever begin a sentence behind an ordinary word; the period between the two
+  does not end a sentence;
+- ends: for each of these types, the share of sentence starters behind its period, against the share behind ordinary
+  words, tells whether it also ends sentences;
 - sentence enders: words most of whose occurrences stand before a period;
 - headings: whole lines that repeat;
 - for Thai, which ends sentences with a blank only: beginnings and ends of chunks, by how often they stand at the
@@ -34,7 +37,7 @@ from textrel.session import checkpointed
 
 MIN_SHARE = 1e-4
 MIN_COUNT = 3
-ABBREVIATION, STARTER = 0.3, 15.0
+ABBREVIATION, STARTER, COLLOCATION = 0.3, 15.0, 7.88
 #: Share of starters behind a type's period, relative to ordinary words, from which the period ends the sentence.
 ENDS = 0.5
 #: Frequent short words by which a language in Latin script is told.
@@ -151,10 +154,12 @@ def _count(text: str, lang: str, out: Counter, raw: dict[str, Counter]) -> None:
 
 class Model:
     """What was learned. ends: (language, type) -> relative share of starters behind its period, for abbreviations,
-    initials and numbers; starters, openers (words that begin sentences now and then), enders: sets of (language, word); headings: set of lines; thai: log odds."""
+    initials and numbers; collocations: set of (language, type, word behind its period); starters, openers (words that begin sentences now and
+    then), enders: sets of (language, word); headings: set of lines; thai: log odds."""
 
     def __init__(self):
         self.ends: dict[tuple[str, str], float] = {}
+        self.collocations: set[tuple[str, str, str]] = set()
         self.starters: set[tuple[str, str]] = set()
         self.openers: set[tuple[str, str]] = set()
         self.enders: set[tuple[str, str]] = set()
@@ -245,11 +250,21 @@ def learn(documents: DataFrame, column: str = "text", lang: str | None = None) -
     for r in behind:
         if r["n"] >= MIN_COUNT:
             model.ends[r["lang"], r["item"]] = r["starts"] / r["n"] / max(usual.get(r["lang"], 1.0), 0.05)
+    behind_type = {(r["lang"], r["item"]): r["n"] for r in behind}
+    parts = [F.split_part("item", F.lit("\t"), F.lit(k)).alias(c) for k, c in ((1, "item"), (2, "word"))]
+    pairs = kept.where("kind = 'f'").select("lang", *parts, F.col("n").alias("n_both")).join(known, ["lang", "item"], "left_semi")
+    begun = totals.where("kind = 's'").select("lang", F.col("item").alias("word"), F.lit(0).alias("n"), F.col("n").alias("begins"))
+    behind_any = f.select("lang", "word", "n", F.lit(0).alias("begins")).unionByName(begun).groupBy("lang", "word").agg(F.sum("n").alias("n_word"), F.sum("begins").alias("n_begins"))
+    for r in behind_any.join(F.broadcast(pairs), ["lang", "word"]).collect():  # at most 1 / MIN_SHARE a language
+        lang, a, b, both, n = r["lang"], behind_type[r["lang"], r["item"]], r["n_word"], r["n_both"], size[r["lang"], "f"]
+        if r["n_begins"] < 0.05 * b and both * n > a * b and collocation(float(a), float(b), float(both), n) >= COLLOCATION:
+            model.collocations.add((lang, r["item"], r["word"]))
     n_lines = totals.where("kind = 'h'").agg(F.sum("n")).first()[0] or 0
     model.headings = {r[0] for r in totals.where((F.col("kind") == "h") & (F.col("n") >= MIN_COUNT) & (F.col("n") >= MIN_SHARE * n_lines)).select("item").collect()}
     for (_, t), share in list(model.ends.items()):  # for texts whose language is not told
         old = model.ends.get(("", t), 9.0)
         model.ends["", t] = share if old == 9.0 else old if share is None else share if old is None else min(old, share)
+    model.collocations |= {("", t, w) for _, t, w in model.collocations}
     model.starters |= {("", w) for _, w in model.starters}
     model.openers |= {("", w) for _, w in model.openers}
     model.enders |= {("", w) for _, w in model.enders}
@@ -307,6 +322,8 @@ class Segmenter:
             if len(self.plain) < 100_000:
                 self.plain.add(asked)
             return True
+        if known and (lang, t, _word_at(text, at)) in m.collocations:
+            return False
         share = m.ends.get((lang, t))
         so_far = text[begin:p].split(None, 3)
         if len(so_far) == 1 and len(t) <= 5 and t[0] != "#":
